@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, mixing, sharding, simhash, spotsigs, token_counts, topk_search
+from . import bpe, gru_lm, language_id, mixing, sharding, simhash, spotsigs, suffix_dedup, token_counts, topk_search
 from .oracle import SQL
 
 
@@ -13,7 +13,9 @@ def queries() -> dict:
         topk_search.op3_topk_search,
         sharding.op4_sharding,
         mixing.op5_mixing,
+        suffix_dedup.op6_suffix_dedup,
         simhash.op7_simhash,
+        gru_lm.op8_gru_lm,
         spotsigs.op9_spotsigs,
         language_id.op10_language_id,
     ]

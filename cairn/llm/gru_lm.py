@@ -37,8 +37,8 @@ WORDS, CLASSES, EMBED, STATE = 4096, 64, 24, 32
 #: Words whose counts are broadcast.
 FREQUENT = 65536
 #: Bounds of the sample that the recurrent weights are fitted on: documents, shards, rounds, tokens of a shard and round.
-FIT_DOCS, SHARDS, ROUNDS, FIT_TOKENS = 3000, 6, 3, 250_000
-STREAMS, SPAN = 32, 16
+FIT_DOCS, SHARDS, ROUNDS, FIT_TOKENS = 3000, 6, 2, 200_000
+STREAMS, SPAN = 96, 16
 #: Steps after which a scoring run turns its states into probabilities.
 SCORE_SPAN = 16
 RARE, END = 0, 1
@@ -349,7 +349,7 @@ def fit(train_docs: DataFrame, vocabulary: Vocabulary) -> Network:
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast(net.w)
 
-        found = sample.groupBy("shard").applyInPandas(_round(sent, 0.01 / (1 + k), k), "shard int, n long, w binary").collect()
+        found = sample.groupBy("shard").applyInPandas(_round(sent, 0.02 / (1 + k), k), "shard int, n long, w binary").collect()
         found = [r for r in sorted(found, key=lambda r: r["shard"]) if r["n"]]
         if not found:
             return net

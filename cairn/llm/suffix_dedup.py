@@ -43,7 +43,7 @@ GRAMS = WINDOW - GRAM + 1
 #: Bytes by which a round of the merge goes on.
 STEP = 5
 #: Most windows of a run; different strings of a key from which on it is dealt by windows; bytes of a shard, and of the shards merged at a time.
-RUN, HOT, SHARD, MERGE = 256, 2000, 128 << 10, 1 << 20
+RUN, HOT, SHARD, MERGE = 256, 2000, 16 << 10, 128 << 10
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64

@@ -56,7 +56,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarra
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return [], np.zeros((0, BUCKETS), np.float32)
+        return [], np.zeros((0, BUCKETS + 1), np.float32)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, fit_docs / sizes[k]))])
     # 53 bits of the id's hash as a number in [0, 1)
     chance = F.shiftrightunsigned(F.xxhash64(F.lit("language-fit"), "doc_id"), 11) / F.lit(float(1 << 53))
@@ -90,7 +90,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], columns: tuple
     langs, matrix = model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(np.ascontiguousarray(matrix.T))
-    source = docs.select(*columns, "text")
+    source = docs.select(*dict.fromkeys([*columns, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text" or "text" in columns)
 
     def run(batches):

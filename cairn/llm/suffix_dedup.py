@@ -347,9 +347,10 @@ def repeated(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _merged_strings(batches):
     """Merges the strings of a partition, whole keys at a time, and gives marks by document."""
-    held = pa.Table.from_batches(list(batches))
-    if not held.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    held = pa.Table.from_batches(held)
     flat = lambda name: held[name].combine_chunks().flatten()
     key, doc, first = (flat(n).to_numpy(zero_copy_only=False) for n in ("key", "doc", "first"))
     string = flat("string")
@@ -436,7 +437,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes; letters of which a part goes go whole. n_chars follows the text."""
-    found = marks(docs)
+    found, columns = marks(docs), docs.columns
     rows = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(LAST))).join(found.withColumnRenamed("doc", "__doc").withColumnRenamed("marks", "__marks"), "__doc", "left")
 
     def run(batches):
@@ -449,13 +450,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                     raw = t.encode()
                     t = np.frombuffer(raw, np.uint8)[~removed_mask(len(raw), m)].tobytes().decode("utf-8", "ignore")
                 out.append(t)
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in docs.columns}
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
             cols["text"] = pa.array(out, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return rows.select(*docs.columns, "__marks").mapInArrow(run, docs.schema)
+    return rows.select(*columns, "__marks").mapInArrow(run, docs.schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

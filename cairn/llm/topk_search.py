@@ -66,7 +66,7 @@ class Best:
         q, ids, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
         order = np.lexsort((ids, -score.astype(object) if len(score) and score.min() == -(2**63) else -score, q))
         q, ids, score = q[order], ids[order], score[order]
-        same = np.append(False, (q[1:] == q[:-1]) & (ids[1:] == ids[:-1]))
+        same = np.append(False, (q[1:] == q[:-1]) & (ids[1:] == ids[:-1]))[: len(q)]
         q, ids, score = q[~same], ids[~same], score[~same]
         first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))[: len(q)]
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
@@ -101,7 +101,9 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5,
     """query_id, rank, vec_id and score of the k best candidates of every query; vectors: vec_id and embedding."""
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
-    whole = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
+    # components beyond 2^62 are held there; a guard stands in each as filters and projections may run in any order
+    most = float(1 << 62)
+    whole = F.transform(x, lambda v: F.floor(F.when(v.isNotNull() & ~F.isnan(v.cast("double")), F.greatest(F.lit(-most), F.least(F.lit(most), v.cast("double") * scale)))).cast("long"))
     rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad & (F.size(x) > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
     queries = rows.where(is_query(F.col("vec_id")))
     shape = queries.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._util import text_slices
 
-REMEMBER = 250_000
+REMEMBER = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -250,7 +250,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         t = tokenizer(path, pattern)
         for batch in batches:
-            for ids, texts in text_slices(batch, limit=32 << 20):
+            for ids, texts in text_slices(batch):
                 n, encoded, decoded = zip(*t.digests([x or "" for x in texts]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(encoded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

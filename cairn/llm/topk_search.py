@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 #: Bytes of query vectors that are broadcast at a time.
 BLOCK_BYTES = 16 << 20
 SEGMENTS = (1, 4, 16)
-#: Candidates that a task compares with the queries at a time.
-TILE = 1024
+#: Candidates, and queries, that a task compares at a time: before bounds are known all pairs of a tile survive.
+TILE = 256
 
 
 def statistics(x: np.ndarray) -> list[tuple[np.ndarray, float]]:
@@ -136,11 +136,11 @@ def _against(shared, k: int):
             cid = batch.column(0).to_numpy(zero_copy_only=False)
             c = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(cid), -1)
             for lo in range(0, len(cid), TILE):
-                for a in range(0, len(qid), 4096):
+                for a in range(0, len(qid), TILE):
                     part = Best(0, k)
-                    part.least = best.least[a : a + 4096]
+                    part.least = best.least[a : a + TILE]
                     part.q, part.id, part.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    search(qid[a : a + 4096], q[a : a + 4096], cid[lo : lo + TILE], c[lo : lo + TILE], part, [x[a : a + 4096] for x in q_stats])
+                    search(qid[a : a + TILE], q[a : a + TILE], cid[lo : lo + TILE], c[lo : lo + TILE], part, [x[a : a + TILE] for x in q_stats])
                     best.add(part.q + a, part.id, part.score)
         yield pa.RecordBatch.from_arrays([pa.array(qid[best.q], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.score, pa.int64())], ["query_id", "vec_id", "score"])
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._util import materialize, text_slices
 
@@ -71,13 +72,20 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 def near_pairs(group: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i > j of fingerprints of the same group that differ in at most `bits` bits.
+    """Positions i > j of all pairs of near_pair_blocks."""
+    found = list(near_pair_blocks(group, fp, bits))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])) if found else (none, none)
+
+
+def near_pair_blocks(group: np.ndarray, fp: np.ndarray, bits: int = BITS, block: int = 1 << 15):
+    """Yields positions i > j of fingerprints of the same group that differ in at most `bits` bits, `block` fingerprints i at a time.
 
     group must not descend, and fp must ascend by Gray rank within a group.
     """
     n = len(fp)
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     # levels of nodes: fixed bits and their values, the node's first and last child below, its group
     shared, value, own = [np.full(n, ~np.uint64(0))], [fp], [group]
     children = []
@@ -95,9 +103,8 @@ def near_pairs(group: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.
         children.append((start, np.append(start[1:], len(g))))
     # every fingerprint starts at the root of its group
     roots = np.searchsorted(own[-1], group)
-    out_i, out_j = [], []
-    for lo in range(0, n, 1 << 15):
-        q = np.arange(lo, min(n, lo + (1 << 15)))
+    for lo in range(0, n, block):
+        q = np.arange(lo, min(n, lo + block))
         node = roots[q]
         have = np.bitwise_count((fp[q] ^ value[-1][node]) & shared[-1][node])
         above = shared[-1][node]
@@ -114,9 +121,7 @@ def near_pairs(group: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.
             q, node, have = q[keep], node[keep], have[keep]
             above = shared[level][node]
         half = q > node
-        out_i.append(q[half])
-        out_j.append(node[half])
-    return np.concatenate(out_i), np.concatenate(out_j)
+        yield q[half], node[half]
 
 
 def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,7 +223,155 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: Near copies: words of a shingle, least Jaccard similarity of the shingle sets.
+WORDS, LEAST = 5, 0.8
+#: Words of the wide fingerprint, tables and bits of a table's key, most differing bits of a candidate.
+WIDE, TABLES, KEY_BITS, CANDIDATE_BITS = 8, 64, 18, 18
+#: Comparisons held at a time.
+HELD = 1 << 22
+_SAMPLE = np.stack([np.random.default_rng(42 + t).choice(64 * WIDE, KEY_BITS, replace=False) for t in range(TABLES)])
+
+
+def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
+    """Ascending distinct XXH64 of the shingles of a text (of fewer words: of the whole sequence)."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - width + 1)
+    shingles = zip(*(words[i : i + n] for i in range(width))) if len(words) >= width else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), 42) for x in shingles), np.uint64, n))
+
+
+def wide_bits(h: np.ndarray) -> np.ndarray:
+    """The 64 * WIDE bits of the SimHash of a set, the first 64 from the hashes themselves."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for lo in range(0, len(h), 2048):
+        x = np.empty((len(h[lo : lo + 2048]), WIDE), np.uint64)
+        x[:, 0] = h[lo : lo + 2048]
+        for k in range(1, WIDE):
+            y = (x[:, 0] ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+            x[:, k] = (y ^ (y >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return ones * 2 > len(h)
+
+
+def _sketched(batches):
+    """Adds to every row its set's hash, fingerprint and table keys."""
+    weights = 1 << np.arange(KEY_BITS)
+    for batch in batches:
+        text = batch.column(0).field("text")
+        small = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), text], ["at", "text"])
+        sets, fps, keys = [], [], []
+        for _, texts in text_slices(small, ("at", "text")):
+            for t in texts:
+                h = shingle_set(t)
+                bits = wide_bits(h)
+                sets.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                fps.append(int(np.packbits(bits[:64], bitorder="little").view(np.uint64)[0]))
+                keys.append((bits[_SAMPLE] @ weights) | (np.arange(TABLES) << KEY_BITS))
+        flat = pa.array(np.concatenate(keys).astype(np.int32)) if keys else pa.array([], pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TABLES), flat)
+        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sets, fps)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *longs, lists], ["row", "s", "fp", "g"])
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Positions of the edges a-b of a least spanning forest by distance d over n nodes."""
+    root = np.arange(n)
+    kept = []
+    for level in np.unique(d):
+        at = np.flatnonzero(d == level)
+        while len(at):
+            at = at[root[a[at]] != root[b[at]]]
+            if not len(at):
+                break
+            # every component takes its first edge to a smaller one, so no cycles close
+            x, y = root[a[at]], root[b[at]]
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            top, first = np.unique(high, return_index=True)
+            kept.append(at[first])
+            root[top] = low[first]
+            while (root[root] != root).any():
+                root = root[root]
+    return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+
+
+def _candidates(batches):
+    """From rows (g, s, fp) that lie with their bucket in one task: a least spanning forest of the near fingerprints of each bucket."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    g, s, fp = (table[c].to_numpy() for c in ("g", "s", "fp"))
+    fp = fp.view(np.uint64)
+    order = np.lexsort((s, gray_rank(fp), g))
+    g, s, fp = g[order], s[order], fp[order]
+    many = np.append(False, g[1:] == g[:-1])
+    many = many | np.append(many[1:], False)
+    g, s, fp = g[many], s[many], fp[many]
+    start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))[: len(g)]
+    ends = np.append(start[1:], len(g))
+    most = np.cumsum((ends - start) ** 2)
+    lo = 0
+    while lo < len(start):
+        base = most[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(most, base + HELD, side="right")))
+        x, y = start[lo], ends[hi - 1]
+        at_a, at_b, dist = [], [], []
+        for i, j in near_pair_blocks(g[x:y], fp[x:y], CANDIDATE_BITS, max(1, HELD // int((ends[lo:hi] - start[lo:hi]).max()))):
+            d = np.bitwise_count(fp[x:y][i] ^ fp[x:y][j])
+            keep = _forest(y - x, i, j, d)
+            at_a.append(i[keep])
+            at_b.append(j[keep])
+            dist.append(d[keep])
+        if at_a:
+            i, j, d = np.concatenate(at_a), np.concatenate(at_b), np.concatenate(dist)
+            keep = _forest(y - x, i, j, d)
+            p, q = s[x:y][i[keep]], s[x:y][j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+        lo = hi
+
+
+def _verified(batches):
+    """Keeps the pairs whose shingle sets have a Jaccard similarity of at least LEAST."""
+    for batch in batches:
+        a, b, x, y = (batch.column(k) for k in range(4))
+        good = []
+        for k in range(batch.num_rows):
+            p, q = shingle_set(x[k].as_py()), shingle_set(y[k].as_py())
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            good.append(both >= LEAST * (len(p) + len(q) - both))
+        yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs as a struct `row`, each with `keep`: whether it stays for its group of near copies.
+
+    Rows of equal shingle sets are one node. Buckets of sampled fingerprint bits hold the
+    candidates; the Gray-order index finds those within CANDIDATE_BITS in each bucket, a
+    least spanning forest of them is kept, and its edges are checked on the exact sets.
+    A pair at a similarity of 0.8 shares a bucket with a chance of 0.97, one of 0.9 with
+    over 0.999. The row with the smallest doc_id of a component stays (nulls last).
+    """
+    fields = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    schema = T.StructType([fields.schema["row"], T.StructField("s", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("g", T.ArrayType(T.IntegerType()))])
+    rows = materialize(fields.mapInArrow(_sketched, schema).withColumn("n", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "n")
+    nodes = materialize(rows.select("s", "fp", "g", order.alias("o")).groupBy("s").agg(F.first("fp").alias("fp"), F.first("g").alias("g"), F.min("o").alias("o")), "sets")
+    dealt = nodes.select("s", "fp", F.explode("g").alias("g")).repartition("g")
+    pairs = materialize(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    wanted = nodes.join(ends, "s", "left_semi").select("s", F.col("o.n").alias("n"))
+    texts = rows.select("n", F.col("row.text").alias("text")).join(wanted, "n").select("s", "text")
+    texts = materialize(texts, "texts")
+    sides = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
+    linked = sides.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+    roots = components(linked)
+    grouped = nodes.select("s", "o").join(roots, nodes["s"] == roots["node"], "left")
+    stays = grouped.groupBy(F.coalesce("root", "s")).agg(F.min("o").alias("o")).select(F.col("o.n").alias("n"), F.lit(True).alias("keep"))
+    return rows.select("row", "n").join(stays, "n", "left").select("row", F.coalesce("keep", F.lit(False)).alias("keep"))
+
+
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi")
+    """Keeps one document, the one with the smallest id, of each group of near copies (five words, 0.8)."""
+    return near_copies(docs).where("keep").select("row.*")

@@ -232,3 +232,32 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
         kept = spark.read.parquet(path)
         assert kept.count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, kept, "").count() == kept.count()
+
+
+def test_near_copies_equal_brute_force(spark, docs, empty):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+    rows = []
+    for g in range(12):
+        base = [rnd.choice(words) for _ in range(80 + 20 * g)]
+        for k in range(6):
+            edited = list(base)
+            for _ in range(k):
+                edited[rnd.randrange(len(edited))] = rnd.choice(words)
+            rows.append((len(rows), " ".join(edited)))
+    rows += [(None, " ".join(rnd.choice(words) for _ in range(40))), (5, rows[5][1]), (900, None), (901, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("keep", F.lit(1)).repartition(3)
+    got = simhash.stage_near_duplicates(spark, table, "")
+    assert got.columns == table.columns
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    want = Counter(rows[r][0] for r in set(root))
+    assert Counter(r["doc_id"] for r in got.collect()) == want
+    assert simhash.stage_near_duplicates(spark, empty, "").count() == 0
+    once = simhash.stage_near_duplicates(spark, docs, "")
+    assert once.columns == docs.columns and 0 < once.count() <= docs.count()

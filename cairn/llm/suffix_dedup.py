@@ -1,6 +1,6 @@
 """Removal of repeated 50-byte strings by merging Burrows-Wheeler transforms.
 
-1. Windows. Every 50-byte window of a text belongs to the smallest hash of the 16-byte
+1. Windows. Every 50-byte window of a text belongs to the smallest hash of the 24-byte
    strings in it, so equal windows of any two documents have the same key. Neighbouring
    windows with one key form a run. Runs (not texts) are dealt by key; equal runs
    collapse into one string owned by its smallest document, and all other documents have
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from ._util import materialize, partitions, text_slices
 
 WINDOW = 50
-#: Bytes of the strings whose smallest hash keys a window, and how many of them a window has.
-GRAM = 16
+#: Bytes of the strings whose smallest hash keys a window (shorter ones meet by chance in a large corpus), and how many of them a window has.
+GRAM = 24
 GRAMS = WINDOW - GRAM + 1
 #: Bytes by which a round of the merge goes on.
 STEP = 5
@@ -89,8 +89,12 @@ class Runs:
         if len(self.up) < len(buf) + 1:
             self.up, self.down = _powers(len(buf) + 1)
         np.cumsum(h * self.up[: len(buf)], out=total[1:])
-        for n in (1, 2, 4, 8):
+        n = 1
+        while n * 2 <= GRAM:
             h = h[:-n] * _U(pow(_BASE, n, 1 << 64)) + h[n:]
+            n *= 2
+        if n < GRAM:
+            h = h[: len(h) - (GRAM - n)] * _U(pow(_BASE, GRAM, 1 << 64)) + h[GRAM - n :]
         least = _mixed(h)
         n = 1
         while n * 2 <= GRAMS:

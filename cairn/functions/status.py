@@ -53,3 +53,25 @@ def permissions(mode: Column, event: Column, ref: Column, default_branch: Column
 
 def upload_wanted(mode: Column, cache_errors: Column, lifecycle_errors: Column) -> Column:
     return (mode == "always") | ((mode == "on-error") & (cache_errors | lifecycle_errors))
+
+
+def authentication_retry(status: Column, limited: Column) -> Column:
+    """Whether a read is tried again with a new signed URL."""
+    return status.isin(401, 403) & ~limited
+
+
+def answer(kind: Column, limited: Column, retry_ms: Column) -> Column:
+    """struct(status, retry_after) that a client gets for a failed read: action results degrade to a miss."""
+    seconds = F.greatest(F.lit(1).cast("bigint"), F.ceil(F.coalesce(retry_ms, F.lit(DEFAULT_PAUSE).cast("bigint")) / 1000))
+    code = F.when(kind == "ac", 404).when(limited, 429).otherwise(503)
+    return F.struct(code.alias("status"), F.when(code == 429, seconds).alias("retry_after"))
+
+
+def abort_derived(aborted: Column, status: Column, limited: Column, conflict: Column, name: Column, message: Column) -> Column:
+    """Whether an error only says that its own operation was cancelled; an answer of the service stays one."""
+    said = (name == "AbortError") | message.rlike(r"(?i)\b(?:abort(?:ed)?|cancell?ed)\b")
+    return aborted & status.isNull() & ~limited & ~conflict & F.coalesce(said, F.lit(False))
+
+
+def policy_denied(message: Column) -> Column:
+    return F.lower(message).startswith("cache write denied:")

@@ -7,28 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom, keys, redact, status
 from ..operators import ingest, lookup, packs, pacing
+from . import service  # noqa: F401  registers its queries
 from . import tables as t
-
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+from .register import oracle_sql, queries, query  # noqa: F401
 
 
 # --- ingest log

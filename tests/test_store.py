@@ -93,3 +93,51 @@ def test_journal(spark, tmp_path):
     (tmp_path / "j").write_text('{"timestamp":"t","area":"BAD","operation":"get","message":"at https://a.b/c","statusCode":900}\nnot json\n')
     rows = files.journal(spark, str(tmp_path / "j")).collect()
     assert [(r["area"], r["message"], r["statusCode"]) for r in rows] == [("unknown", "at <redacted-url>", None)]
+
+
+def test_admission_reclaims_in_order_of_durability(spark):
+    from cairn.operators import admission
+
+    log = [(0, "accept", "a", 6), (1, "accept", "b", 4), (2, "accept", "c", 1), (3, "complete", "b", 0), (4, "complete", "a", 0), (5, "accept", "c", 5), (6, "accept", "a", 6), (7, "complete", "z", 0), (8, "accept", "c", 5)]
+    rows = spark.createDataFrame([("w", *r) for r in log], "w string, ord long, op string, id string, size long")
+    got = [r["outcome"] for r in admission.admitted(rows, "w", 10).orderBy("ord").collect()]
+    # b goes, then a, to make room for c; then a does not fit beside it
+    assert got == ["accepted", "accepted", "full", "durable", "durable", "accepted", "full", "unknown", "duplicate"]
+
+
+def test_semaphore_equals_a_clock(spark):
+    import random
+
+    from cairn.operators import admission
+
+    rng = random.Random(3)
+    calls = sorted((rng.randrange(60), k, rng.randrange(7), rng.randrange(1, 9)) for k in range(80))
+    queue, running, want, used = [], [], {}, 0
+    for now in range(1000):
+        used -= sum(a for end, a in running if end == now)
+        running = [r for r in running if r[0] > now]
+        for at, k, amount, hold in calls:
+            if at == now and amount == 0:
+                want[k] = now
+            elif at == now and amount <= 5:
+                queue.append((k, amount, hold))
+            elif at == now:
+                want[k] = None
+        while queue and used + queue[0][1] <= 5:
+            k, amount, hold = queue.pop(0)
+            want[k], used = now, used + amount
+            running.append((now + hold, amount))
+    rows = spark.createDataFrame([("w", k, at, amount, hold) for at, k, amount, hold in calls], "w string, ord long, at_ms long, amount long, hold_ms long")
+    assert {r["ord"]: r["granted_ms"] for r in admission.semaphore(rows, "w", 5).collect()} == want
+
+
+def test_catalog_pages_drop_bad_records_and_refuse_bad_pages(spark):
+    from cairn.sources import catalog
+
+    good = '{"id":1,"key":"k","version":"v","ref":"r","size_in_bytes":2,"created_at":"2026-01-02T03:04:05Z"}'
+    bad = [good.replace(":1,", ":-1,"), good.replace('"k"', "7"), good.replace("2026-01", "soon"), "5", "null"]
+    page = lambda body: spark.createDataFrame([(body,)], "body string")
+    rows = catalog.records(page('{"total_count":9,"actions_caches":[%s]}' % ",".join([good, *bad]))).collect()
+    assert [(r["id"], r["key"], r["size_bytes"]) for r in rows] == [(1, "k", 2)]
+    with pytest.raises(Exception, match="malformed"):
+        catalog.records(page('{"total_count":-1,"actions_caches":[]}')).collect()

@@ -44,6 +44,8 @@ GRAMS = WINDOW - GRAM + 1
 STEP = 5
 #: Most windows of a run; different strings of a key from which on it is dealt by windows; bytes of a shard, and of the shards merged at a time.
 RUN, HOT, SHARD, MERGE = 256, 2000, 16 << 10, 128 << 10
+#: Windows of a text that are looked at together.
+PIECE = 256 << 10
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -70,16 +72,21 @@ class Runs:
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         """Position in texts, first window, number of windows, key and content hash of every run."""
         out = []
+        # a long text goes in pieces that overlap by all but one byte of a window
+        pieces = [(k, at) for k, t in enumerate(texts) for at in range(0, max(1, len(t) - WINDOW + 1), PIECE)]
         lo = size = 0
-        for hi, t in enumerate(texts, 1):
-            size += len(t)
-            if size >= 256 << 10 or hi == len(texts):
-                out.append(self._chunk(texts[lo:hi], lo))
+        for hi, (k, at) in enumerate(pieces, 1):
+            size += min(PIECE + WINDOW - 1, len(texts[k]) - at)
+            if size >= PIECE or hi == len(pieces):
+                part = pieces[lo:hi]
+                which, first, *rest = self._chunk([texts[k][at : at + PIECE + WINDOW - 1] for k, at in part])
+                of, shift = np.array(part, np.int64).reshape(-1, 2).T
+                out.append((of[which], first + shift[which], *rest))
                 lo, size = hi, 0
         kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
         return tuple(np.concatenate([np.zeros(0, k), *(o[i] for o in out)]).astype(k) for i, k in enumerate(kinds))
 
-    def _chunk(self, texts: list[bytes], base: int) -> tuple[np.ndarray, ...]:
+    def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
         buf = np.frombuffer(b"".join(texts), np.uint8)
         empty = tuple(np.zeros(0, np.int64) for _ in range(5))
         if len(buf) < WINDOW:
@@ -124,7 +131,7 @@ class Runs:
             start = np.repeat(start, parts) + offset * RUN
             count = np.minimum(stop - start, RUN)
         content = (total[start + count + WINDOW - 1] - total[start]) * self.down[start]
-        return which[at] + base, start - first[at], count, least[start], _mixed(content ^ (count.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)))
+        return which[at], start - first[at], count, least[start], _mixed(content ^ (count.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -169,7 +176,7 @@ def _dealt_runs(buckets: int):
     def run(batches):
         runs = Runs()
         for batch in batches:
-            for ids, texts in text_slices(batch, limit=16 << 20):
+            for ids, texts in text_slices(batch):
                 doc = np.array([LAST if i is None else i for i in ids], np.int64)
                 k, first, count, key, content = runs.of([(t or "").encode() for t in texts])
                 if not len(k):

@@ -261,3 +261,23 @@ def test_near_copies_equal_brute_force(spark, docs, empty):
     assert simhash.stage_near_duplicates(spark, empty, "").count() == 0
     once = simhash.stage_near_duplicates(spark, docs, "")
     assert once.columns == docs.columns and 0 < once.count() <= docs.count()
+
+
+def test_runs_of_a_long_text_do_not_depend_on_its_pieces(monkeypatch):
+    words = [hashlib.sha256(b"%d" % k).hexdigest()[: 2 + k % 9].encode() for k in range(4000)]
+    text = b" ".join(words)
+    texts = [b"short", text, b"", text[1000:9000], b"x" * 60]
+    keys = []
+    for piece in (1 << 20, 700, 50):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        which, first, count, key, _ = suffix_dedup.Runs().of(texts)
+        by_text = []
+        for k, t in enumerate(texts):
+            rows = which == k
+            at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a, a + n) for a, n in zip(first[rows], count[rows]))])
+            # every window is in one run
+            assert sorted(at.tolist()) == list(range(max(0, len(t) - suffix_dedup.WINDOW + 1)))
+            by_text.append(np.repeat(key[rows], count[rows])[np.argsort(at)].tolist())
+        keys.append(by_text)
+        assert by_text[1][1000 : 9000 - suffix_dedup.WINDOW + 1] == by_text[3]
+    assert keys[0] == keys[1] == keys[2]

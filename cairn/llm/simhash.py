@@ -223,13 +223,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: Near copies: words of a shingle, least Jaccard similarity of the shingle sets.
+#: Near copies: words of a shingle, least Jaccard similarity of the shingle sets (as a float and in lowest terms).
 WORDS, LEAST = 5, 0.8
-#: Words of the wide fingerprint, tables and bits of a table's key, most differing bits of a candidate.
-WIDE, TABLES, KEY_BITS, CANDIDATE_BITS = 8, 64, 18, 18
-#: Comparisons held at a time.
-HELD = 1 << 22
-_SAMPLE = np.stack([np.random.default_rng(42 + t).choice(64 * WIDE, KEY_BITS, replace=False) for t in range(TABLES)])
+PART, WHOLE = 4, 5
+#: Bits of a set's parity map, comparisons held at a time.
+PARITY, HELD = 512, 1 << 21
+#: Documents whose shingles are counted to know the common ones, and how many of these are known.
+COUNTED, COMMON = 20_000, 1 << 20
 
 
 def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
@@ -242,37 +242,99 @@ def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), 42) for x in shingles), np.uint64, n))
 
 
-def wide_bits(h: np.ndarray) -> np.ndarray:
-    """The 64 * WIDE bits of the SimHash of a set, the first 64 from the hashes themselves."""
-    ones = np.zeros(64 * WIDE, np.int64)
-    for lo in range(0, len(h), 2048):
-        x = np.empty((len(h[lo : lo + 2048]), WIDE), np.uint64)
-        x[:, 0] = h[lo : lo + 2048]
-        for k in range(1, WIDE):
-            y = (x[:, 0] ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-            x[:, k] = (y ^ (y >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return ones * 2 > len(h)
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes and counts of shingles that occur often in some documents; they order the prefixes and decide no link."""
+    share = min(1.0, COUNTED / max(1, docs.count()))
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("near"), "text"), 11) / F.lit(float(1 << 53))
 
+    def run(batches):
+        for batch in batches:
+            for (texts,) in text_slices(batch, ("text",)):
+                h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(shingle_set, texts)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+
+    counts = docs.where(chance < share).select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    top = counts.where("c > 1").orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def prefix(h: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set: two sets of a similarity of at least LEAST have one in common in theirs."""
+    known, count = common
+    n = len(h)
+    c = np.zeros(n, np.int64)
+    if len(known) and n:
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        c = np.where(known[at] == h, count[at], 0)
+    return h[np.lexsort((h, c))][: n - -(-PART * n // WHOLE) + 1 if n else 0]
+
+
+def parity(h: np.ndarray) -> bytes:
+    """A bit for each class of hashes: whether the set has an odd number of it. Two maps differ in at most as many bits as their sets in shingles."""
+    odd = np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _sketched(common):
+    """Adds to every row its set's hash, size, parity map and prefix."""
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(0).field("text")
+            small = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), text], ["at", "text"])
+            s, size, maps, fronts = [], [], [], []
+            for _, texts in text_slices(small, ("at", "text")):
+                for t in texts:
+                    h = shingle_set(t)
+                    s.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                    size.append(len(h))
+                    maps.append(parity(h))
+                    fronts.append(prefix(h, common.value))
+            ends = np.cumsum([0, *map(len, fronts)])
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *fronts]).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(s, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(maps, pa.binary()), lists], ["row", "s", "size", "map", "g"])
+
+    return run
+
+
+def _by_shingle(batches):
+    """Columns g, s, size, at of all rows, each set once in a group, groups together and small sets first; None without rows."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return None
+    table = pa.Table.from_batches(held)
+    cols = {c: table[c].to_numpy() for c in table.column_names if c != "map"}
+    order = np.lexsort((cols["s"], cols["size"], cols["g"]))
+    g, s = cols["g"][order], cols["s"][order]
+    order = order[np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]))]
+    return {c: v[order] for c, v in cols.items()}, table, order
 
-def _sketched(batches):
-    """Adds to every row its set's hash, fingerprint and table keys."""
-    weights = 1 << np.arange(KEY_BITS)
-    for batch in batches:
-        text = batch.column(0).field("text")
-        small = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), text], ["at", "text"])
-        sets, fps, keys = [], [], []
-        for _, texts in text_slices(small, ("at", "text")):
-            for t in texts:
-                h = shingle_set(t)
-                bits = wide_bits(h)
-                sets.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
-                fps.append(int(np.packbits(bits[:64], bitorder="little").view(np.uint64)[0]))
-                keys.append((bits[_SAMPLE] @ weights) | (np.arange(TABLES) << KEY_BITS))
-        flat = pa.array(np.concatenate(keys).astype(np.int32)) if keys else pa.array([], pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TABLES), flat)
-        longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sets, fps)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *longs, lists], ["row", "s", "fp", "g"])
+
+def _partners(g: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each row the first row of its group whose size allows the similarity; all from there to the row do."""
+    start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(g))))
+    key = group * (1 << 32) + size
+    return np.searchsorted(key, group * (1 << 32) + -(-PART * size.astype(np.int64) // WHOLE))
+
+
+def _shared(batches):
+    """From rows (g, s, size, at) that lie with their shingle in one task: those whose shingle another set of fitting size has."""
+    found = _by_shingle(batches)
+    if found is None:
+        return
+    c = found[0]
+    first = _partners(c["g"], c["size"])
+    have = np.arange(len(first)) - first
+    # a row is wanted as the larger or as the smaller side
+    wanted = np.zeros(len(first) + 1, np.int64)
+    np.add.at(wanted, first[have > 0], 1)
+    np.add.at(wanted, np.flatnonzero(have > 0) + 1, -1)
+    keep = np.cumsum(wanted)[:-1] > 0
+    yield pa.RecordBatch.from_arrays([pa.array(c[x][keep]) for x in ("g", "s", "size", "at")], ["g", "s", "size", "at"])
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -296,40 +358,54 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 
-def _candidates(batches):
-    """From rows (g, s, fp) that lie with their bucket in one task: a least spanning forest of the near fingerprints of each bucket."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    g, s, fp = (table[c].to_numpy() for c in ("g", "s", "fp"))
-    fp = fp.view(np.uint64)
-    order = np.lexsort((s, gray_rank(fp), g))
-    g, s, fp = g[order], s[order], fp[order]
-    many = np.append(False, g[1:] == g[:-1])
-    many = many | np.append(many[1:], False)
-    g, s, fp = g[many], s[many], fp[many]
-    start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))[: len(g)]
-    ends = np.append(start[1:], len(g))
-    most = np.cumsum((ends - start) ** 2)
-    lo = 0
-    while lo < len(start):
-        base = most[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(most, base + HELD, side="right")))
-        x, y = start[lo], ends[hi - 1]
-        at_a, at_b, dist = [], [], []
-        for i, j in near_pair_blocks(g[x:y], fp[x:y], CANDIDATE_BITS, max(1, HELD // int((ends[lo:hi] - start[lo:hi]).max()))):
-            d = np.bitwise_count(fp[x:y][i] ^ fp[x:y][j])
-            keep = _forest(y - x, i, j, d)
-            at_a.append(i[keep])
-            at_b.append(j[keep])
-            dist.append(d[keep])
-        if at_a:
-            i, j, d = np.concatenate(at_a), np.concatenate(at_b), np.concatenate(dist)
-            keep = _forest(y - x, i, j, d)
-            p, q = s[x:y][i[keep]], s[x:y][j[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
-        lo = hi
+def _candidates(every: bool):
+    """From rows (g, s, size, at, map, root) that lie with their shingle in one task: pairs that may reach the similarity.
+
+    every: all pairs of different roots; otherwise a least spanning forest of a run of pairs.
+    """
+
+    def run(batches):
+        found = _by_shingle(batches)
+        if found is None:
+            return
+        c, table, order = found
+        g, s, at, root = c["g"], c["s"], c["at"].astype(np.int64), c["root"]
+        size = c["size"].astype(np.int64)
+        maps = np.frombuffer(b"".join(table["map"].to_pylist()), np.uint64).reshape(-1, PARITY // 64)[order]
+        first = _partners(g, size)
+        ends = np.cumsum(np.arange(len(g)) - first)
+        lo = 0
+        while lo < len(g):
+            base = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, base + HELD, side="right")))
+            n = np.arange(lo, hi) - first[lo:hi]
+            pairs = int(n.sum())
+            heads = np.repeat(np.cumsum(n) - n, n)
+            owner = np.repeat(np.arange(lo, hi), n)
+            other = np.arange(pairs) - heads + first[owner]
+            # of the common shingle that comes first in both, no set has one before it that the other has
+            most = 1 + np.minimum(size[owner] - at[owner], size[other] - at[other]) - 1
+            both = size[owner] + size[other]
+            keep = most * (PART + WHOLE) >= PART * both
+            if every:
+                keep &= root[owner] != root[other]
+            owner, other, both = owner[keep], other[keep], both[keep]
+            parts = []
+            for k in range(0, len(owner), 1 << 18):
+                parts.append(np.bitwise_count(maps[owner[k : k + (1 << 18)]] ^ maps[other[k : k + (1 << 18)]]).sum(axis=1, dtype=np.int64))
+            d = np.concatenate([np.zeros(0, np.int64), *parts])
+            # sets that differ in d shingles share (both - d) / 2
+            keep = (both - d) * (PART + WHOLE) >= 2 * PART * both
+            owner, other, d = owner[keep], other[keep], d[keep]
+            if not every:
+                keep = _forest(len(g), owner, other, d)
+                owner, other = owner[keep], other[keep]
+            if len(owner):
+                p, q = s[owner], s[other]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+            lo = hi
+
+    return run
 
 
 def _verified(batches):
@@ -347,26 +423,42 @@ def _verified(batches):
 def near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs as a struct `row`, each with `keep`: whether it stays for its group of near copies.
 
-    Rows of equal shingle sets are one node. Buckets of sampled fingerprint bits hold the
-    candidates; the Gray-order index finds those within CANDIDATE_BITS in each bucket, a
-    least spanning forest of them is kept, and its edges are checked on the exact sets.
-    A pair at a similarity of 0.8 shares a bucket with a chance of 0.97, one of 0.9 with
-    over 0.999. The row with the smallest doc_id of a component stays (nulls last).
+    Rows of equal shingle sets are one node. Every two sets that reach the similarity have a
+    common shingle among the rarest fifth of each, so all pairs that meet there are
+    candidates; only those are dropped that sizes, places in the prefix or parity maps prove to be below it.
+    A spanning forest of each shingle's candidates is checked on the exact sets first, then
+    every other candidate whose sides are still apart. The row with the smallest doc_id of a
+    component stays (nulls last).
     """
     fields = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    schema = T.StructType([fields.schema["row"], T.StructField("s", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("g", T.ArrayType(T.IntegerType()))])
-    rows = materialize(fields.mapInArrow(_sketched, schema).withColumn("n", F.monotonically_increasing_id()), "rows")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
+    schema = T.StructType([fields.schema["row"], T.StructField("s", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("map", T.BinaryType()), T.StructField("g", T.ArrayType(T.LongType()))])
+    rows = materialize(fields.mapInArrow(_sketched(common), schema).withColumn("n", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "n")
-    nodes = materialize(rows.select("s", "fp", "g", order.alias("o")).groupBy("s").agg(F.first("fp").alias("fp"), F.first("g").alias("g"), F.min("o").alias("o")), "sets")
-    dealt = nodes.select("s", "fp", F.explode("g").alias("g")).repartition("g")
-    pairs = materialize(dealt.mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
-    wanted = nodes.join(ends, "s", "left_semi").select("s", F.col("o.n").alias("n"))
-    texts = rows.select("n", F.col("row.text").alias("text")).join(wanted, "n").select("s", "text")
-    texts = materialize(texts, "texts")
-    sides = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
-    linked = sides.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
-    roots = components(linked)
+    nodes = materialize(rows.select("s", "map", order.alias("o")).groupBy("s").agg(F.first("map").alias("map"), F.min("o").alias("o")), "sets")
+    dealt = rows.select("s", "size", F.posexplode("g").alias("at", "g")).select("g", "s", "size", "at").repartition("g")
+    shared = materialize(dealt.mapInArrow(_shared, "g long, s long, size int, at int"), "shared")
+
+    def pairs(roots: DataFrame | None) -> DataFrame:
+        held = shared.join(nodes.select("s", "map"), "s")
+        if roots is None:
+            held = held.withColumn("root", F.col("s"))
+        else:
+            held = held.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        found = held.select("g", "s", "size", "at", "map", "root").repartition("g").mapInArrow(_candidates(roots is not None), "a long, b long")
+        return found.distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+        wanted = nodes.join(ends, "s", "left_semi").select("s", F.col("o.n").alias("n"))
+        texts = materialize(rows.select("n", F.col("row.text").alias("text")).join(wanted, "n").select("s", "text"), "texts")
+        sides = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
+        return materialize(sides.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+
+    first = materialize(pairs(None), "pairs")
+    linked = verified(first)
+    rest = materialize(pairs(components(linked)).join(first, ["a", "b"], "left_anti"), "pairs")
+    roots = components(linked.union(verified(rest)))
     grouped = nodes.select("s", "o").join(roots, nodes["s"] == roots["node"], "left")
     stays = grouped.groupBy(F.coalesce("root", "s")).agg(F.min("o").alias("o")).select(F.col("o.n").alias("n"), F.lit(True).alias("keep"))
     return rows.select("row", "n").join(stays, "n", "left").select("row", F.coalesce("keep", F.lit(False)).alias("keep"))

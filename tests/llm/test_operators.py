@@ -281,3 +281,31 @@ def test_runs_of_a_long_text_do_not_depend_on_its_pieces(monkeypatch):
         keys.append(by_text)
         assert by_text[1][1000 : 9000 - suffix_dedup.WINDOW + 1] == by_text[3]
     assert keys[0] == keys[1] == keys[2]
+
+
+def _near_copies_by_brute_force(rows):
+    sets = [set(simhash.shingle_set(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return Counter(rows[r][0] for r in set(root))
+
+
+def test_near_copies_of_families_around_the_threshold(spark):
+    rnd = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for _ in range(8):
+        template = [rnd.choice(words) for _ in range(150)]
+        for _ in range(60):
+            own = list(template)
+            at = rnd.randrange(len(own) - 30)
+            own[at : at + rnd.randrange(8, 26)] = [rnd.choice(words) for _ in range(rnd.randrange(8, 26))]
+            rows.append((len(rows), " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(r["doc_id"] for r in simhash.stage_near_duplicates(spark, table, "").collect())
+    assert got == _near_copies_by_brute_force(rows)

@@ -309,3 +309,16 @@ def test_near_copies_of_families_around_the_threshold(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter(r["doc_id"] for r in simhash.stage_near_duplicates(spark, table, "").collect())
     assert got == _near_copies_by_brute_force(rows)
+
+
+def test_near_copies_of_short_texts_are_all_found(spark):
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(150):
+        text = [rnd.choice(words) for _ in range(9)]
+        # five shingles and four of them
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:-1]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(r["doc_id"] for r in simhash.stage_near_duplicates(spark, table, "").collect())
+    assert got == _near_copies_by_brute_force(rows) == Counter(range(0, 300, 2))

@@ -3,8 +3,8 @@
 Counts of all words of all training documents give the vocabulary (the most frequent
 words), the word classes (equal numbers of words by frequency), the first output biases and
 the shares of rare words. The recurrent weights are fitted by truncated backpropagation on
-a bounded sample of training documents, in shards whose weights are averaged after every
-round. Scoring runs whole documents, many side by side and longest first, and carries the
+all training documents, each whole, in shards whose weights are averaged after every
+round; the number of shards grows with the input. Scoring runs whole documents, many side by side and longest first, and carries the
 state from window to window. A word outside the vocabulary is one symbol of the network
 times the word's share among such words, so the model is a distribution over all words.
 
@@ -30,14 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import crc_of_id, materialize, partitions, text_slices
+from ._util import crc_of_id, materialize, partitions, pieces, text_slices
 
 #: Words of the network (with the end and the symbol of rare words), classes, sizes of embedding and state.
 WORDS, CLASSES, EMBED, STATE = 4096, 64, 24, 32
 #: Words whose counts are broadcast.
 FREQUENT = 65536
-#: Bounds of the sample that the recurrent weights are fitted on: documents, shards, rounds, tokens of a shard and round.
-FIT_DOCS, SHARDS, ROUNDS, FIT_TOKENS = 3000, 6, 2, 200_000
+#: Fitting of the recurrent weights: least number of shards, rounds over all training documents, tokens of a shard on average.
+SHARDS, ROUNDS, FIT_TOKENS = 6, 2, 200_000
 STREAMS, SPAN = 96, 16
 #: Steps after which a scoring run turns its states into probabilities.
 SCORE_SPAN = 16
@@ -170,30 +170,40 @@ def _log_prob(w: dict, per: int, h: np.ndarray, target: np.ndarray) -> np.ndarra
 
 
 def train(net: Network, docs: list[np.ndarray], rate: float, tokens: int) -> int:
-    """One pass of truncated backpropagation over documents (numbers of words, the end last); returns the tokens."""
+    """One pass of truncated backpropagation over whole documents (numbers of words, the end last), laid in streams about `tokens` at a time; returns the tokens."""
+    adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
+    n = steps = begin = held = 0
+    for k, d in enumerate(docs):
+        held += len(d)
+        if held >= tokens or k + 1 == len(docs):
+            more, steps = _train_streams(net, docs[begin : k + 1], rate, adam, steps)
+            n, begin, held = n + more, k + 1, 0
+    return n
+
+
+def _train_streams(net: Network, docs: list[np.ndarray], rate: float, adam: dict, steps: int) -> tuple[int, int]:
+    """Trains on all tokens of the documents; returns the tokens and the steps of the optimizer so far."""
     w, per = net.w, net.per
     streams: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
     fill = [0] * STREAMS
     for d in docs:
         k = fill.index(min(fill))
-        if fill[k] * STREAMS >= tokens:
-            break
         streams[k].append(d)
         fill[k] += len(d)
     # each stream is full documents in a row; a document's first input is the end of the one before
-    rows = [np.concatenate(s) for s in streams if s]
+    rows = sorted((np.concatenate(s) for s in streams if s), key=len, reverse=True)
     if not rows:
-        return 0
-    T = min(max(map(len, rows)), tokens // STREAMS + SPAN)
-    data, live = np.full((len(rows), T), END, np.int64), np.zeros((len(rows), T), bool)
-    for k, r in enumerate(rows):
-        data[k, : min(T, len(r))], live[k, : min(T, len(r))] = r[:T], True
-    before = np.concatenate([np.full((len(rows), 1), END), data[:, :-1]], axis=1)
-    adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
+        return 0, steps
     h, n = np.zeros((len(rows), STATE), np.float32), 0
-    for lo in range(0, T, SPAN):
-        hi = min(T, lo + SPAN)
-        x_in, y, on = before[:, lo:hi], data[:, lo:hi], live[:, lo:hi]
+    for lo in range(0, len(rows[0]), SPAN):
+        # the streams that have not ended
+        rows = [r for r in rows if len(r) > lo]
+        h, hi = h[: len(rows)], min(len(rows[0]), lo + SPAN)
+        y, on = np.full((len(rows), hi - lo), END, np.int64), np.zeros((len(rows), hi - lo), bool)
+        for k, r in enumerate(rows):
+            part = r[lo:hi]
+            y[k, : len(part)], on[k, : len(part)] = part, True
+        x_in = np.concatenate([np.array([[r[lo - 1] if lo else END] for r in rows], np.int64), y[:, :-1]], axis=1)
         states, kept = [], []
         for t in range(hi - lo):
             fresh = (x_in[:, t] == END)[:, None]
@@ -235,15 +245,15 @@ def train(net: Network, docs: list[np.ndarray], rate: float, tokens: int) -> int
             carry = np.where(fresh, 0, d * z + da @ w["U"].T)
         norm = math.sqrt(sum(float((v * v).sum()) for v in g.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-12))
-        k = lo // SPAN + 1
+        steps += 1
         for name, v in w.items():
             m1, m2 = adam[name]
             gr = g[name] * scale
             m1 += 0.1 * (gr - m1)
             m2 += 0.001 * (gr * gr - m2)
-            v -= (rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
+            v -= (rate * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
         n += int(mask.sum())
-    return n
+    return n, steps
 
 
 def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
@@ -310,29 +320,63 @@ class Vocabulary:
 
 
 def _round(sent, rate: float, seed: int):
-    """One shard's pass over its documents from the weights that were sent."""
-
-    def local(part):
-        import pandas as pd
+    """Passes over the shards of a task (rows shard, words, a shard's in a row), each from the weights that were sent; one row of tokens and sum of weights by tokens."""
 
-        own = Network(np.ones(1))
-        own.w = {n: v.copy() for n, v in sent.value.items()}
-        docs = [np.array(x) for x in part.sort_values("doc_id", kind="stable")["words"]]
-        np.random.default_rng(seed).shuffle(docs)
-        n = train(own, docs, rate, FIT_TOKENS)
-        return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "n": [n], "w": [b"".join(own.w[x].astype("<f4").tobytes() for x in sorted(own.w))]})
-
-    return local
+    def run(batches):
+        names = sorted(sent.value)
+        tokens, total, first = 0, None, None
+
+        def shard(docs):
+            nonlocal tokens, total
+            own = Network(np.ones(1))
+            own.w = {n: v.copy() for n, v in sent.value.items()}
+            np.random.default_rng(seed).shuffle(docs)
+            n = train(own, docs, rate, FIT_TOKENS)
+            flat = np.concatenate([own.w[x].ravel() for x in names]).astype(np.float64) * n
+            tokens, total = tokens + n, flat if total is None else total + flat
+
+        current, docs = None, []
+        for batch in batches:
+            which, lists = batch.column(0).to_numpy(), batch.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for k, s in enumerate(which.tolist()):
+                if s != current:
+                    if docs:
+                        shard(docs)
+                    current, docs = s, []
+                    first = s if first is None else first
+                docs.append(flat[ends[k] : ends[k + 1]].copy())
+        if docs:
+            shard(docs)
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "n", "w"])
+
+    return run
+
+
+def _sum(rows: list[tuple[int, int, bytes]]) -> tuple[int, int, np.ndarray]:
+    """Least part, tokens and sums of weights of rows (part, n, w), added in the order of the parts."""
+    rows = sorted(rows)
+    total = np.frombuffer(rows[0][2]).copy()
+    for r in rows[1:]:
+        total += np.frombuffer(r[2])
+    return rows[0][0], sum(r[1] for r in rows), total
+
+
+def _added(batches):
+    rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)))]
+    if rows:
+        part, n, total = _sum(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "n", "w"])
 
 
 def fit(train_docs: DataFrame, vocabulary: Vocabulary) -> Network:
-    """Local rounds over shards of the sample, weights averaged after each."""
+    """Local rounds over shards of all training documents, weights averaged after each; net.trained has the tokens of each round."""
     spark = train_docs.sparkSession
     net = Network(vocabulary.network_counts)
+    net.trained = []
     if not vocabulary.end:
         return net
-    share = min(1.0, FIT_DOCS / vocabulary.end)
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit("lm-fit"), "doc_id"), 11) / F.lit(float(1 << 53))
     known = spark.sparkContext.broadcast(vocabulary)
 
     def encode(batches):
@@ -340,25 +384,31 @@ def fit(train_docs: DataFrame, vocabulary: Vocabulary) -> Network:
         for batch in batches:
             for ids, texts in text_slices(batch):
                 part = Batch(texts)
-                number = v.look_up(part.hashes)[0]
-                rows = [np.append(number[d], END).tolist() for d in part.docs]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "words"])
+                number = v.look_up(part.hashes)[0].astype(np.int32)
+                rows = [np.append(number[d], np.int32(END)) for d in part.docs]
+                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), words], ["doc_id", "words"])
 
-    sample = train_docs.where(chance < share).select("doc_id", "text").mapInArrow(encode, "doc_id long, words array<int>")
-    sample = materialize(sample.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(SHARDS)).cast("int")), "lm-fit")
+    n = partitions(spark)
+    shards = pieces(vocabulary.total, FIT_TOKENS, SHARDS)
+    encoded = train_docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, words array<int>")
+    encoded = materialize(encoded.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "words"), F.lit(shards)).cast("long")), "lm-fit")
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast(net.w)
-
-        found = sample.groupBy("shard").applyInPandas(_round(sent, 0.02 / (1 + k), k), "shard int, n long, w binary").collect()
-        found = [r for r in sorted(found, key=lambda r: r["shard"]) if r["n"]]
+        dealt = encoded.repartition(max(SHARDS, n), "shard").sortWithinPartitions("shard", "doc_id", "words").select("shard", "words")
+        sums = dealt.mapInArrow(_round(sent, 0.02 / (1 + k), k), "part long, n long, w binary")
+        found = sums.repartition(math.isqrt(n) + 1, "part").mapInArrow(_added, "part long, n long, w binary").collect()
         if not found:
             return net
-        mean = sum(np.frombuffer(bytes(r["w"]), "<f4").astype(np.float64) * r["n"] for r in found) / sum(r["n"] for r in found)
+        _, tokens, total = _sum([(r["part"], r["n"], bytes(r["w"])) for r in found])
+        mean = total / tokens
         at = 0
         for x in sorted(net.w):
             size = net.w[x].size
             net.w[x] = mean[at : at + size].reshape(net.w[x].shape).astype(np.float32)
             at += size
+        net.trained.append(tokens)
         sent.unpersist()
     return net
 

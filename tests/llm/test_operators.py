@@ -322,3 +322,16 @@ def test_near_copies_of_short_texts_are_all_found(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter(r["doc_id"] for r in simhash.stage_near_duplicates(spark, table, "").collect())
     assert got == _near_copies_by_brute_force(rows) == Counter(range(0, 300, 2))
+
+
+def test_language_model_trains_on_all_words(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.integers(2, 50, n), gru_lm.END) for n in (5000, 3, 0, 700, *[20] * 150)]
+    assert gru_lm.train(gru_lm.Network(np.ones(50)), docs, 0.02, 1000) == sum(map(len, docs))
+    texts = [" ".join(f"w{k}" for k in d) for d in docs]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(gru_lm, "FIT_TOKENS", 900)
+    h = np.unique([gru_lm._hash(w.encode()) for t in texts for w in t.split()]).astype(np.uint64)
+    total = sum(len(t.split()) for t in texts)
+    vocabulary = gru_lm.Vocabulary(h, np.ones(len(h), np.int64), len(h), total, len(texts))
+    assert gru_lm.fit(table, vocabulary).trained == [total + len(texts)] * gru_lm.ROUNDS

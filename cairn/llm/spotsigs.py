@@ -6,6 +6,10 @@ documents; their document frequencies are taken over all documents. The set of h
 signatures, written in ascending order, is the fingerprint; likeness is the Jaccard
 similarity of two sets, and sets are compared only where their sizes allow the threshold.
 
+Anchors are met without their punctuation. Where no anchor is within REACH words, every word
+starts a signature with the words after it, so texts of any language have signatures all
+along; words of over LONG_WORD bytes beyond ASCII (scripts without blanks) count by character.
+
 Edge cases: a text without signatures has one for its whole word sequence; null and blank
 texts have none, the fingerprint is empty, and two empty sets have likeness 1; rows with
 equal ids are ordered by their text's hash; a null id comes last in descending order; one
@@ -15,6 +19,7 @@ document is its own next; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import hashlib
+import string
 from collections import Counter
 from itertools import compress
 
@@ -28,9 +33,19 @@ from pyspark.sql import functions as F
 from ._util import partitions, text_slices
 
 ANCHORS, ANCHOR_BYTES, CHAIN = 64, 5, 2
+#: Words around an anchor that need no signature of their own; bytes beyond which a word is taken by character.
+REACH, LONG_WORD = 8, 48
+_MARKS = string.punctuation.encode()
 _LEAST = -(1 << 63)
 
 
+def words_of(text: str) -> list[bytes]:
+    words = text.encode().lower().split()
+    if any(len(w) > LONG_WORD and not w.isascii() for w in words):
+        words = [x for w in words for x in ([c.encode() for c in w.decode()] if len(w) > LONG_WORD and not w.isascii() else [w])]
+    return words
+
+
 def common_words(docs: DataFrame, n: int = ANCHORS, longest: int = ANCHOR_BYTES) -> frozenset[bytes]:
     """The n words of at most `longest` bytes that most documents have; ties by the word."""
 
@@ -40,7 +55,7 @@ def common_words(docs: DataFrame, n: int = ANCHORS, longest: int = ANCHOR_BYTES)
             for (texts,) in text_slices(batch, ("text",)):
                 for t in texts:
                     if t:
-                        seen.update({w for w in t.encode().lower().split() if len(w) <= longest})
+                        seen.update({w for w in {x.strip(_MARKS) for x in words_of(t)} if 0 < len(w) <= longest})
             if len(seen) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
                 seen.clear()
@@ -52,16 +67,22 @@ def common_words(docs: DataFrame, n: int = ANCHORS, longest: int = ANCHOR_BYTES)
 
 def signatures(text: str, anchors: frozenset[bytes], length: int = CHAIN) -> np.ndarray:
     """The ascending distinct hashes of a text's spot signatures."""
-    words = text.encode().lower().split()
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.uint32)
-    spot = np.fromiter(map(anchors.__contains__, words), bool, len(words))
+    bare = [w.strip(_MARKS) for w in words]
+    spot = np.fromiter(map(anchors.__contains__, bare), bool, len(words))
     content = list(compress(words, (~spot).tolist()))
     at = np.flatnonzero(spot)
     begin = at - np.arange(len(at))
     fit = begin + length <= len(content)
     digest = xxhash.xxh32_intdigest
-    found = [digest(b" ".join((words[a], *content[c : c + length]))) for a, c in zip(at[fit].tolist(), begin[fit].tolist())]
+    found = [digest(b" ".join((bare[a], *content[c : c + length]))) for a, c in zip(at[fit].tolist(), begin[fit].tolist())]
+    # words far from any anchor
+    near = np.concatenate([[0], np.cumsum(spot)])
+    i = np.arange(len(words))
+    far = np.flatnonzero(near[np.minimum(i + REACH + 1, len(words))] == near[np.maximum(i - REACH, 0)])
+    found += [digest(b"\1" + b" ".join(words[k : k + length + 1])) for k in far[far + length < len(words)].tolist()]
     return np.unique(np.array(found or [digest(b"\0" + b" ".join(words))], np.uint32))
 
 

@@ -335,3 +335,13 @@ def test_language_model_trains_on_all_words(spark, monkeypatch):
     total = sum(len(t.split()) for t in texts)
     vocabulary = gru_lm.Vocabulary(h, np.ones(len(h), np.int64), len(h), total, len(texts))
     assert gru_lm.fit(table, vocabulary).trained == [total + len(texts)] * gru_lm.ROUNDS
+
+
+def test_spotsigs_of_texts_without_anchors():
+    anchors = frozenset([b"the", b"im"])
+    words = [f"wort{k}" for k in range(40)]
+    changed = [*words[:20], *(["the", "rest"] * 10)]
+    assert spotsigs.likeness(*(spotsigs.signatures(" ".join(x), anchors) for x in (words, changed))) > 0.1
+    han = "".join(chr(0x4E00 + k) for k in range(60))
+    assert spotsigs.likeness(spotsigs.signatures(han, anchors), spotsigs.signatures(han[:40], anchors)) > 0.5
+    assert np.isin(spotsigs.signatures("IM!! haus dort", anchors), spotsigs.signatures("im haus dort", anchors)).all()

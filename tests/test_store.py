@@ -141,3 +141,9 @@ def test_catalog_pages_drop_bad_records_and_refuse_bad_pages(spark):
     assert [(r["id"], r["key"], r["size_bytes"]) for r in rows] == [(1, "k", 2)]
     with pytest.raises(Exception, match="malformed"):
         catalog.records(page('{"total_count":-1,"actions_caches":[]}')).collect()
+
+
+def test_every_member_is_looked_up(spark):
+    found = registry.queries()["bloom_candidates_all"](spark, DIR)
+    own = found.where("pack = floor(probe_id / 100)").count()
+    assert own == spark.read.parquet(f"{DIR}/part.parquet").count()

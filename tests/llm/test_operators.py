@@ -183,12 +183,12 @@ def test_language_model(spark, docs, empty):
 
 def test_language_model_gradient_and_distribution():
     net = gru_lm.Network(np.arange(gru_lm.WORDS)[::-1])
-    h = np.full((gru_lm.WORDS, gru_lm.STATE), 0.3, np.float32)
+    h = np.full((gru_lm.STATE, gru_lm.WORDS), 0.3, np.float32)
     assert np.exp(gru_lm._log_prob(net.w, net.per, h, np.arange(gru_lm.WORDS))).sum() == pytest.approx(1, abs=1e-4)
     rng = np.random.default_rng(0)
     docs = [np.append(np.tile([5, 9, 700], rng.integers(3, 9)), gru_lm.END) for _ in range(200)]
     before = gru_lm.score(net, docs).sum()
-    gru_lm.train(net, docs, 0.02, 100_000)
+    gru_lm.train(net, docs, 0.02)
     assert gru_lm.score(net, docs).sum() > before + 500
     one = np.concatenate([gru_lm.score(net, [d]) for d in docs[:5]])
     assert gru_lm.score(net, docs[:5]) == pytest.approx(one, rel=1e-4)
@@ -327,14 +327,77 @@ def test_near_copies_of_short_texts_are_all_found(spark):
 def test_language_model_trains_on_all_words(spark, monkeypatch):
     rng = np.random.default_rng(3)
     docs = [np.append(rng.integers(2, 50, n), gru_lm.END) for n in (5000, 3, 0, 700, *[20] * 150)]
-    assert gru_lm.train(gru_lm.Network(np.ones(50)), docs, 0.02, 1000) == sum(map(len, docs))
-    texts = [" ".join(f"w{k}" for k in d) for d in docs]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(gru_lm, "FIT_TOKENS", 900)
+    assert gru_lm.train(gru_lm.Network(np.ones(50)), docs, 0.02) == sum(map(len, docs))
+    texts = [" ".join(f"w{k}" for k in d[:-1]) for d in docs] + ["held out"] * 3
+    table = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, keys string").repartition(3)
+    monkeypatch.setattr(gru_lm, "SLICE", 400)
+    tokens = gru_lm.tokenized(table, F.col("text") == "held out", 8)
+    assert tokens.where("bucket is null").count() > 20
     h = np.unique([gru_lm._hash(w.encode()) for t in texts for w in t.split()]).astype(np.uint64)
-    total = sum(len(t.split()) for t in texts)
-    vocabulary = gru_lm.Vocabulary(h, np.ones(len(h), np.int64), len(h), total, len(texts))
-    assert gru_lm.fit(table, vocabulary).trained == [total + len(texts)] * gru_lm.ROUNDS
+    total = sum(map(len, docs))
+    vocabulary = gru_lm.Vocabulary(h, np.ones(len(h), np.int64), len(h), total - len(docs), len(docs))
+    # every round has its part of the documents, each whole; together they are all, once
+    trained = gru_lm.fit(tokens, vocabulary).trained
+    assert len(trained) == gru_lm.ROUNDS and sum(trained) == total
+
+
+def _double(net):
+    net.flat = net.flat.astype(np.float64) + np.random.default_rng(1).normal(0, 0.3, len(net.flat))
+    net.w = net.views(net.flat)
+    return net
+
+
+def test_language_model_gradient_equals_differences():
+    net = _double(gru_lm.Network(np.ones(30)))
+    rng = np.random.default_rng(2)
+    steps, rows = 5, 4
+    x_in, target = rng.integers(0, gru_lm.WORDS, (steps, rows)), rng.integers(0, gru_lm.WORDS, (steps, rows))
+    on, keep = rng.random((steps, rows)) < 0.8, (rng.random((steps, rows)) < 0.7).astype(float)
+    h = rng.normal(0, 0.5, (gru_lm.STATE, rows))
+    g_flat = np.zeros_like(net.flat)
+    _, _, words = gru_lm.gradient(net, h, x_in, target, on, keep, net.views(g_flat))
+    found = g_flat.copy()
+    scratch = net.views(np.zeros_like(net.flat))
+    used = np.flatnonzero(found)
+    idle = rng.choice(np.flatnonzero(found == 0), 20)
+    assert len(used) > 500
+    for k in [*rng.choice(used, 250, replace=False), *idle]:
+        at, loss = net.flat[k], []
+        for step in (1e-5, -1e-5):
+            net.flat[k] = at + step
+            loss.append(gru_lm.gradient(net, h, x_in, target, on, keep, scratch)[1] / words)
+        net.flat[k] = at
+        assert (loss[0] - loss[1]) / 2e-5 == pytest.approx(found[k], rel=1e-4, abs=1e-8)
+
+
+def test_language_model_score_equals_a_plain_loop():
+    net = _double(gru_lm.Network(np.ones(30)))
+    w, n = net.w, gru_lm.STATE
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(0, gru_lm.WORDS, k), gru_lm.END) for k in (0, 1, 7, 40, 40, 300)]
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    want = []
+    for d in docs:
+        h, before, total = np.zeros(n), gru_lm.END, 0.0
+        for word in d:
+            x, a = w["T"][:, before], w["U"] @ h
+            r, z = (1 / (1 + np.exp(-(x[k * n : k * n + n] + a[k * n : k * n + n]))) for k in (0, 1))
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * a[2 * n :])
+            c, inner = divmod(word, net.per)
+            total += soft(w["C"] @ h + w["bc"][:, 0])[c] + soft(w["W"][c] @ h + w["bw"][c, :, 0])[inner]
+            before = word
+        want.append(total)
+    assert gru_lm.score(net, docs) == pytest.approx(want, rel=1e-9)
+
+
+def test_language_model_of_repeated_and_null_ids(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (1, " ".join(words[:9])), (1, " ".join(words[:9])), (None, " ".join(words)), (None, ""), (2, None), (7, " ".join(words * 3000))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).repartition(2)
+    got = gru_lm.score_documents(table, gru_lm.crc_of_id() % 5 == 1).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len((t or "").split()) + 1) for i, t in rows)
+    again = [r["score"] for r in got if (r["doc_id"], r["n_tokens"]) == (1, 10)]
+    assert len(again) == 2 and again[0] == pytest.approx(again[1]) and all(np.isfinite(r["score"]) for r in got)
 
 
 def test_spotsigs_of_texts_without_anchors():

@@ -51,6 +51,31 @@ def text_slices(batch: pa.RecordBatch, columns: tuple[str, ...] = ("doc_id", "te
         start = stop
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.Table]:
+    """Tables of whole groups, about `limit` bytes or one group each, from rows in the order of a column of numbers."""
+    held, size, wait = [], 0, limit
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < wait:
+            continue
+        table = pa.Table.from_batches(held)
+        last = held[-1].column(batch.schema.get_field_index(column))[-1].as_py()
+        cut = int(np.searchsorted(table[column].to_numpy(), last))
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
+            wait = max(limit, 2 * size)
+        else:
+            # one group so far: looked at again when there is twice as much
+            wait = 2 * size
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,13 +12,16 @@
    boundary between neighbours appears in the round in which their common prefix ends, so
    after 50 bytes the stretches without a boundary are the repeated intervals.
 3. Marks. In every interval the windows of documents above the smallest one are marked;
-   marks and texts meet by doc_id, and the bytes that marked windows cover are removed.
+   marks and texts meet by row, and the bytes that marked windows cover are removed.
 
-A key that very many different strings share is dealt anew by its whole windows.
+A row is told by its doc_id and, where rows with different texts share an id or it is null,
+by the hash of its text. A key that very many different strings share is dealt anew by its
+whole windows. Rows are sorted by bucket before they reach Python, which holds one bucket
+at a time; the number of buckets grows with the bytes of the texts.
 
 Edge cases: null and empty texts have 0 bytes; texts under 50 bytes lose nothing; rows
-with the same doc_id count as one document, so what is marked in one is marked at the same
-bytes of the others; a null doc_id counts as larger than all others; an empty table gives no rows; other
+with the same doc_id, or with none, take nothing from each other and each keeps its own
+marks; a null doc_id counts as larger than all others; an empty table gives no rows; other
 columns are ignored; texts of any length are read whole.
 """
 
@@ -34,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import materialize, partitions, text_slices
+from ._util import SLICE_BYTES, materialize, partitions, pieces, text_slices, whole_groups
 
 WINDOW = 50
 #: Bytes of the strings whose smallest hash keys a window (shorter ones meet by chance in a large corpus), and how many of them a window has.
@@ -44,6 +47,8 @@ GRAMS = WINDOW - GRAM + 1
 STEP = 5
 #: Most windows of a run; different strings of a key from which on it is dealt by windows; bytes of a shard, and of the shards merged at a time.
 RUN, HOT, SHARD, MERGE = 256, 2000, 16 << 10, 128 << 10
+#: Ids with several texts that are broadcast at most (beyond it all rows are told by their texts); bytes of text of a bucket.
+SHARED, BUCKET = 1 << 20, 16 << 20
 #: Windows of a text that are looked at together.
 PIECE = 256 << 10
 LAST = (1 << 63) - 1
@@ -149,7 +154,7 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-_ENTRY = ("<i8", "<u8", "<u8", "<u4", "<u2")  # doc, key, content, first window, windows
+_ENTRY = ("<i8", "<i8", "<u8", "<u8", "<u4", "<u2")  # doc, tag, key, content, first window, windows
 _SPAN = ("<u4", "<u2")  # first window, windows
 _WANT = ("<u4", "<u2", "<u8")  # and the key; 0: deal by windows
 
@@ -161,13 +166,35 @@ def _sorted_groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(True, k[1:] != k[:-1])[: len(k)]
 
 
-def _by_doc(doc: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order, new = _sorted_groups(doc, arrays[0])
-    cuts = np.append(np.flatnonzero(new), len(doc)).tolist()
+def _by_row(doc: np.ndarray, tag: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """doc, tag and blob of the arrays of every row."""
+    order = np.lexsort((arrays[0], tag, doc))
+    d, t = doc[order], tag[order]
+    cuts = np.append(np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))[: len(d)]), len(d)).tolist()
     arrays = [a[order] for a in arrays]
-    ids = doc[order]
     for a, b in zip(cuts, cuts[1:]):
-        yield int(ids[a]), _pack(*(x[a:b] for x in arrays))
+        yield int(d[a]), int(t[a]), _pack(*(x[a:b] for x in arrays))
+
+
+class Rows:
+    """The documents with doc (null as LAST) and tag, which tell a row's id and text apart; and the number of buckets."""
+
+    def __init__(self, docs: DataFrame):
+        text = F.xxhash64("text")
+        ids = docs.groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b"), F.sum(F.octet_length("text")).alias("bytes"))
+        ids = materialize(ids, "ids")
+        several = ids.where("a != b and doc_id is not null").select("doc_id").limit(SHARED + 1).toArrow()["doc_id"].to_pylist()
+        size = ids.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+        self.buckets = pieces(size, BUCKET, 8 * partitions(docs.sparkSession))
+        rows = docs
+        told = F.col("doc_id").isNull()
+        if len(several) > SHARED:
+            told = F.lit(True)
+        elif several:
+            shared = docs.sparkSession.createDataFrame([(i,) for i in several], "__shared long")
+            rows = docs.join(F.broadcast(shared), F.col("doc_id") == F.col("__shared"), "left")
+            told = told | F.col("__shared").isNotNull()
+        self.docs = rows.withColumn("__doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("__tag", F.when(told, text).otherwise(F.lit(0).cast("bigint"))).drop("__shared")
 
 
 def _dealt_runs(buckets: int):
@@ -176,53 +203,54 @@ def _dealt_runs(buckets: int):
     def run(batches):
         runs = Runs()
         for batch in batches:
-            for ids, texts in text_slices(batch):
-                doc = np.array([LAST if i is None else i for i in ids], np.int64)
+            for docs, tags, texts in text_slices(batch, ("__doc", "__tag", "text")):
                 k, first, count, key, content = runs.of([(t or "").encode() for t in texts])
                 if not len(k):
                     continue
-                doc = doc[k]
+                doc, tag = np.array(docs, np.int64)[k], np.array(tags, np.int64)[k]
                 # equal runs stand together, the smallest document first
                 order = np.lexsort((doc, content, key))
-                doc, first, count, key, content = (a[order] for a in (doc, first, count, key, content))
+                doc, tag, first, count, key, content = (a[order] for a in (doc, tag, first, count, key, content))
                 same = np.append(False, (key[1:] == key[:-1]) & (content[1:] == content[:-1]))
                 group = np.flatnonzero(~same)
                 owner = np.repeat(doc[group], np.diff(np.append(group, len(doc))))
                 repeated = same & (doc != owner)
-                own, blobs, to = [], [], []
+                own, tagged, blobs, to = [], [], [], []
                 bucket = (key % _U(buckets)).astype(np.int64)
                 sent = ~repeated
                 order, new = _sorted_groups(bucket[sent])
                 cuts = np.append(np.flatnonzero(new), len(order)).tolist()
-                parts = [a[sent][order] for a in (doc, key, content, first, count)]
+                parts = [a[sent][order] for a in (doc, tag, key, content, first, count)]
                 at = bucket[sent][order]
                 for a, b in zip(cuts, cuts[1:]):
                     to.append(int(at[a]))
                     blobs.append(_pack(*(p[a:b].astype(t) for p, t in zip(parts, _ENTRY))))
                     own.append(None)
-                for d, blob in _by_doc(doc[repeated], first[repeated].astype("<u4"), count[repeated].astype("<u2")):
+                    tagged.append(None)
+                for d, t, blob in _by_row(doc[repeated], tag[repeated], first[repeated].astype("<u4"), count[repeated].astype("<u2")):
                     to.append(-1 - d % buckets)
                     blobs.append(blob)
                     own.append(d)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(own, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "doc", "data"])
+                    tagged.append(t)
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(own, pa.int64()), pa.array(tagged, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "doc", "tag", "data"])
 
     return run
 
 
 def _judged_runs(batches):
-    """Reduce side: marks of repeated runs (marks) and the strings that a merge needs (wants), by document."""
-    entries = []
-    for batch in batches:
-        passed = [(d, x) for d, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) if d is not None]
-        entries += [_unpack(x, *_ENTRY) for d, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()) if d is None]
-        if passed:
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in passed], pa.int64()), pa.array([x for _, x in passed], pa.binary()), pa.nulls(len(passed), pa.binary())], ["doc", "marks", "wants"])
-    if not entries:
-        return
-    doc, key, content, first, count = (np.concatenate([e[i] for e in entries]) for i in range(5))
-    del entries
+    """Reduce side, a bucket at a time: marks of repeated runs (marks) and the strings that a merge needs (wants), by row."""
+    for table in whole_groups(batches, "bucket"):
+        passed = table.filter(pa.compute.less(table["bucket"], 0))
+        for b in passed.to_batches():
+            yield pa.RecordBatch.from_arrays([b["doc"], b["tag"], b["data"], pa.nulls(b.num_rows, pa.binary())], ["doc", "tag", "marks", "wants"])
+        entries = [_unpack(x.as_py(), *_ENTRY) for x in table.filter(pa.compute.greater_equal(table["bucket"], 0))["data"]]
+        if entries:
+            yield from _judged(*(np.concatenate([e[i] for e in entries]) for i in range(len(_ENTRY))))
+
+
+def _judged(doc: np.ndarray, tag: np.ndarray, key: np.ndarray, content: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((doc, content, key))
-    doc, key, content, first, count = (a[order] for a in (doc, key, content, first, count))
+    doc, tag, key, content, first, count = (a[order] for a in (doc, tag, key, content, first, count))
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(start, len(key)))
     several = np.repeat(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start), sizes)
@@ -235,45 +263,54 @@ def _judged_runs(batches):
     wanted = several & (doc == owner) & (variants > 1)
     name = np.where(variants > HOT, _U(0), np.maximum(key, _U(1)))
     for kind, rows, arrays in ((0, marked, (first, count)), (1, wanted, (first, count, name))):
-        ids, blobs = [], []
-        for d, blob in _by_doc(doc[rows], *(a[rows] for a in arrays)):
-            ids.append(d)
-            blobs.append(blob)
-        if ids:
+        found = list(_by_row(doc[rows], tag[rows], *(a[rows] for a in arrays)))
+        if found:
+            ids, tags, blobs = zip(*found)
             none = pa.nulls(len(ids), pa.binary())
             data = pa.array(blobs, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), none if kind else data, data if kind else none], ["doc", "marks", "wants"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), none if kind else data, data if kind else none], ["doc", "tag", "marks", "wants"])
 
 
 def _dealt_strings(buckets: int):
-    """Cuts the wanted strings out of the texts and deals them by key; strings of a blob are of one document."""
+    """Cuts the wanted strings out of the texts and deals them by key; strings of a blob are of some documents."""
+    names = ["bucket", "key", "doc", "tag", "first", "string"]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
+        held: dict[int, list] = {}
+        size, before = 0, None
+
+        def flush():
+            rows = list(held.items())
+            column = lambda k, t: pa.array([[x[k] for x in r] for _, r in rows], pa.list_(t))
+            signed = pa.array([[x[0] - (1 << 64) if x[0] >> 63 else x[0] for x in r] for _, r in rows], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), signed, column(1, pa.int64()), column(2, pa.int64()), column(3, pa.int64()), column(4, pa.binary())], names)
+
         for batch in batches:
-            held: dict[int, list] = {}
-            for d, data, wants in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+            for at in range(batch.num_rows):
+                d, t, data, wants = (batch.column(k)[at].as_py() for k in range(4))
+                # repeated rows stand together and have the same strings
+                if (d, t) == before:
+                    continue
+                before = d, t
                 text = unpack(data)
                 for blob in wants:
                     for s, n, key in zip(*[a.tolist() for a in _unpack(blob, *_WANT)]):
                         if key:
-                            held.setdefault(xxhash.xxh64_intdigest(key.to_bytes(8, "little")) % buckets, []).append((key, d, s, text[s : s + n + WINDOW - 1]))
-                            continue
-                        for w in range(s, s + n):
-                            piece = text[w : w + WINDOW]
-                            key_of = xxhash.xxh64_intdigest(piece)
-                            held.setdefault(key_of % buckets, []).append((key_of, d, w, piece))
-            rows = list(held.items())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b for b, _ in rows], pa.int64()),
-                    pa.array([[x[0] - (1 << 64) if x[0] >> 63 else x[0] for x in r] for _, r in rows], pa.list_(pa.int64())),
-                    pa.array([[x[1] for x in r] for _, r in rows], pa.list_(pa.int64())),
-                    pa.array([[x[2] for x in r] for _, r in rows], pa.list_(pa.int64())),
-                    pa.array([[x[3] for x in r] for _, r in rows], pa.list_(pa.binary())),
-                ],
-                ["bucket", "key", "doc", "first", "string"],
-            )
+                            held.setdefault(xxhash.xxh64_intdigest(key.to_bytes(8, "little")) % buckets, []).append((key, d, t, s, text[s : s + n + WINDOW - 1]))
+                            size += n + 2 * WINDOW
+                        else:
+                            for w in range(s, s + n):
+                                piece = text[w : w + WINDOW]
+                                key_of = xxhash.xxh64_intdigest(piece)
+                                held.setdefault(key_of % buckets, []).append((key_of, d, t, w, piece))
+                            size += n * 2 * WINDOW
+                    if size >= SLICE_BYTES:
+                        yield flush()
+                        held.clear()
+                        size = 0
+        if held:
+            yield flush()
 
     return run
 
@@ -357,33 +394,28 @@ def repeated(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _merged_strings(batches):
-    """Merges the strings of a partition, whole keys at a time, and gives marks by document."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    held = pa.Table.from_batches(held)
-    flat = lambda name: held[name].combine_chunks().flatten()
-    key, doc, first = (flat(n).to_numpy(zero_copy_only=False) for n in ("key", "doc", "first"))
-    string = flat("string")
-    order = np.lexsort((doc, key))
-    key, doc, first = key[order], doc[order], first[order]
-    string = string.take(pa.array(order))
-    size = np.cumsum(pa.compute.binary_length(string).to_numpy(zero_copy_only=False).astype(np.int64))
-    bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-    lo = 0
-    while lo < len(key):
-        base = size[lo - 1] if lo else 0
-        # keys up to MERGE bytes, one at least
-        ends = bounds[bounds > lo]
-        hi = int(ends[max(0, int(np.searchsorted(size[ends - 1], base + MERGE, side="right")) - 1)])
-        which, offset = repeated(string.slice(lo, hi - lo).to_pylist(), doc[lo:hi])
-        ids, blobs = [], []
-        where = first[lo:hi][which] + offset
-        for d, blob in _by_doc(doc[lo:hi][which], where.astype("<u4"), np.ones(len(where), "<u2")):
-            ids.append(d)
-            blobs.append(blob)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["doc", "marks"])
-        lo = hi
+    """Merges the strings of a bucket at a time, whole keys together, and gives marks by row."""
+    for held in whole_groups(batches, "bucket"):
+        flat = lambda name: held[name].combine_chunks().flatten()
+        key, doc, tag, first = (flat(n).to_numpy(zero_copy_only=False) for n in ("key", "doc", "tag", "first"))
+        string = flat("string")
+        order = np.lexsort((doc, key))
+        key, doc, tag, first = key[order], doc[order], tag[order], first[order]
+        string = string.take(pa.array(order))
+        size = np.cumsum(pa.compute.binary_length(string).to_numpy(zero_copy_only=False).astype(np.int64))
+        bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        lo = 0
+        while lo < len(key):
+            base = size[lo - 1] if lo else 0
+            # keys up to MERGE bytes, one at least
+            ends = bounds[bounds > lo]
+            hi = int(ends[max(0, int(np.searchsorted(size[ends - 1], base + MERGE, side="right")) - 1)])
+            which, offset = repeated(string.slice(lo, hi - lo).to_pylist(), doc[lo:hi])
+            where = first[lo:hi][which] + offset
+            found = list(_by_row(doc[lo:hi][which], tag[lo:hi][which], where.astype("<u4"), np.ones(len(where), "<u2")))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], ["doc", "tag", "marks"])
+            lo = hi
 
 
 def removed_mask(size: int, marks: list[bytes]) -> np.ndarray:
@@ -396,31 +428,33 @@ def removed_mask(size: int, marks: list[bytes]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """doc and marks, the lists of its marked windows, of every document that has some."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    buckets = 8 * n
-    dealt = docs.select("doc_id", "text").mapInArrow(_dealt_runs(buckets), "bucket long, doc long, data binary")
-    judged = materialize(dealt.repartition(n, "bucket").mapInArrow(_judged_runs, "doc long, marks binary, wants binary"), "runs")
-    wants = judged.where("wants is not null").groupBy("doc").agg(F.collect_list("wants").alias("wants"))
-    texts = _compressed(docs).join(wants, "doc").select("doc", "data", "wants")
-    strings = texts.mapInArrow(_dealt_strings(buckets), "bucket long, key array<long>, doc array<long>, first array<long>, string array<binary>")
-    merged = strings.repartition(n, "bucket").mapInArrow(_merged_strings, "doc long, marks binary")
-    found = judged.where("marks is not null").select("doc", "marks").union(merged)
-    return found.groupBy("doc").agg(F.collect_list("marks").alias("marks"))
+def marks(rows: Rows) -> DataFrame:
+    """doc, tag and marks, the lists of its marked windows, of every row that has some."""
+    n = partitions(rows.docs.sparkSession)
+    dealt = rows.docs.select("__doc", "__tag", "text").mapInArrow(_dealt_runs(rows.buckets), "bucket long, doc long, tag long, data binary")
+    judged = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged_runs, "doc long, tag long, marks binary, wants binary")
+    judged = materialize(judged, "runs")
+    wants = judged.where("wants is not null").groupBy("doc", "tag").agg(F.collect_list("wants").alias("wants"))
+    texts = _compressed(rows).join(wants, ["doc", "tag"]).select("doc", "tag", "data", "wants")
+    strings = texts.mapInArrow(_dealt_strings(rows.buckets), "bucket long, key array<long>, doc array<long>, tag array<long>, first array<long>, string array<binary>")
+    merged = strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged_strings, "doc long, tag long, marks binary")
+    found = judged.where("marks is not null").select("doc", "tag", "marks").union(merged)
+    return found.groupBy("doc", "tag").agg(F.collect_list("marks").alias("marks"))
 
 
-def _compressed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc (null as LAST) and the text's bytes, compressed before they are shuffled."""
+def _compressed(rows: Rows) -> DataFrame:
+    """doc_id, doc, tag and the text's bytes, compressed before they are shuffled."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for ids, texts in text_slices(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([LAST if i is None else i for i in ids], pa.int64()), pa.array([pack((t or "").encode()) for t in texts], pa.binary())], ["doc", "data"])
+            start = 0
+            for (texts,) in text_slices(batch, ("text",)):
+                part = batch.slice(start, len(texts))
+                start += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([pack((t or "").encode()) for t in texts], pa.binary())], ["doc_id", "doc", "tag", "data"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc long, data binary")
+    return rows.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__doc", "__tag", "text").mapInArrow(run, "doc_id long, doc long, tag long, data binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -430,7 +464,8 @@ def digests(docs: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for d, data, found in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+            for at in range(batch.num_rows):
+                data, found = batch.column(1)[at].as_py(), batch.column(2)[at].as_py()
                 text = unpack(data)
                 if found:
                     gone = removed_mask(len(text), found)
@@ -438,36 +473,42 @@ def digests(docs: DataFrame) -> DataFrame:
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 else:
                     spans, kept = 0, text
-                out.append((None if d == LAST else d, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _compressed(docs).join(marks(docs), "doc", "left").select("doc", "data", "marks")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = Rows(docs)
+    joined = _compressed(rows).join(marks(rows), ["doc", "tag"], "left").select("doc_id", "data", "marks")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes; letters of which a part goes go whole. n_chars follows the text."""
-    found, columns = marks(docs), docs.columns
-    rows = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(LAST))).join(found.withColumnRenamed("doc", "__doc").withColumnRenamed("marks", "__marks"), "__doc", "left")
+    rows, columns = Rows(docs), docs.columns
+    found = marks(rows).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("marks").alias("__marks"))
+    joined = rows.docs.join(found, ["__doc", "__tag"], "left").select(*columns, "__marks")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = batch.column(batch.schema.get_field_index("__marks")).to_pylist()
-            out = []
-            for t, m in zip(texts, found):
-                if t is not None and m:
-                    raw = t.encode()
-                    t = np.frombuffer(raw, np.uint8)[~removed_mask(len(raw), m)].tobytes().decode("utf-8", "ignore")
-                out.append(t)
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
-            cols["text"] = pa.array(out, pa.string())
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    return rows.select(*columns, "__marks").mapInArrow(run, docs.schema)
+            marked = batch.column(batch.schema.get_field_index("__marks"))
+            start = 0
+            for (texts,) in text_slices(batch, ("text",)):
+                part = batch.slice(start, len(texts))
+                out = []
+                for k, t in enumerate(texts):
+                    m = marked[start + k].as_py()
+                    if t is not None and m:
+                        raw = t.encode()
+                        t = np.frombuffer(raw, np.uint8)[~removed_mask(len(raw), m)].tobytes().decode("utf-8", "ignore")
+                    out.append(t)
+                start += len(texts)
+                cols = {c: part.column(part.schema.get_field_index(c)) for c in columns}
+                cols["text"] = pa.array(out, pa.string())
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(cols["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -475,4 +516,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their repeated 50-byte strings.
+
+    Null and short texts stay as they are; a text that is repeated in whole becomes empty and
+    its row stays; rows with equal or null ids keep their own marks; an empty table stays empty;
+    all columns stay, n_chars follows the text.
+    """
     return deduplicated(docs)

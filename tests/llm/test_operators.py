@@ -140,6 +140,34 @@ def test_suffix_dedup_equals_brute_force(spark, docs, empty):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digests(spark.createDataFrame(list(runs.items()), "doc_id long, text string")).collect()} == brute(runs)
 
 
+def test_suffix_dedup_of_shared_and_null_ids(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(200)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    a, b, c, line = text(60), text(60), text(50), text(15)
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, text(20) + line), (None, line + text(30)), (None, a + text(9)), (None, c), (None, None), (3, line + c), (3, text(4) + line), ((1 << 63) - 1, b + c), (4, "short")]
+    first = {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        for p in range(len(raw) - 49):
+            first[raw[p : p + 50]] = min(first.get(raw[p : p + 50], 1 << 64), 1 << 63 if i is None else i)
+    want = []
+    for i, t in rows:
+        raw, key = (t or "").encode(), 1 << 63 if i is None else i
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 49):
+            if first[raw[p : p + 50]] < key:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(raw, gone) if not g)
+        want.append((i, len(raw), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode() if t is not None else None))
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tag", F.lit("x")).withColumn("marks", F.lit(1)).repartition(3)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.digests(table).collect())
+    assert got == Counter(w[:4] for w in want)
+    out = suffix_dedup.stage_suffix_dedup(spark, table, "")
+    assert out.columns == table.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter((w[0], w[4]) for w in want)
+
+
 def test_simhash_components(spark, docs, empty):
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
     fp = {i: simhash.fingerprint(t) for i, t in _local(docs).items()}

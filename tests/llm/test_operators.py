@@ -106,15 +106,97 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_documents(twice).groupBy("shard", "slot").count().where("count > 1").count() == 0
 
 
+def _targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    """Shares by weight; what is above twice a source's size goes to the others, again and again."""
+    out, full = [0.0] * len(sizes), set()
+    while True:
+        rest = share * sum(sizes) - sum(most * sizes[k] for k in full)
+        scale = sum(weights[k % 3] for k in range(len(sizes)) if k not in full)
+        out = [most * x if k in full else rest * weights[k % 3] / scale for k, x in enumerate(sizes)]
+        over = {k for k, x in enumerate(sizes) if k not in full and out[k] > most * x}
+        if not over:
+            return out
+        full |= over
+
+
+def _sources(rows):
+    names = sorted({s for _, _, s in rows if s is not None}, key=lambda s: [ord(c) for c in s])
+    names += [None] * any(s is None for _, _, s in rows)
+    return names, [sum(len((t or "").encode().split()) for _, t, s in rows if s == n) for n in names]
+
+
 def test_mixing(spark, docs, empty):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    names, sizes = _sources(rows)
+    goal = dict(zip(names, _targets(sizes)))
     got = mixing.copies(docs).collect()
-    assert len(got) == docs.count() and mixing.copies(empty).count() == 0
-    assert mixing.targets([100, 100, 100]) == [200, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    by = {}
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _, _ in rows) and mixing.copies(empty).count() == 0
+    of = {i: (t, s) for i, t, s in rows}
+    taken = Counter()
     for r in got:
-        assert 0 <= r["copies"] <= 2 and r["size"] == len((_local(docs)[r["doc_id"]] or "").encode().split())
-        by.setdefault(r["target"], []).append(r["copies"] * r["size"])
-    assert all(abs(sum(v) - k) <= 60 for k, v in by.items())
+        text, source = of[r["doc_id"]]
+        assert 0 <= r["copies"] <= 2 and r["size"] == len((text or "").encode().split())
+        assert r["target"] == pytest.approx(goal[source]) and r["source_size"] == dict(zip(names, sizes))[source]
+        taken[source] += r["copies"] * r["size"]
+    assert all(abs(taken[s] - goal[s]) <= 60 for s in names)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.copies(docs.repartition(7)).collect()))
+
+
+def test_mixing_targets_of_many_sources(spark):
+    rnd = random.Random(9)
+    names = [None, "", "a", "a b", "B", "z", "é", "漢", "🙂", "\uffff", *(f"s{k}" for k in range(400))]
+    sizes = {n: rnd.choice([0, 1, 7, 50, 4000]) for n in names}
+    sizes["zz"] = 10**7
+    table = spark.createDataFrame([(n, k) for n, k in sizes.items()], "source string, source_size long").repartition(5)
+    got = {r["source"]: r["target"] for r in mixing.targeted(table).collect()}
+    order = [*sorted((n for n in sizes if n is not None), key=lambda s: [ord(c) for c in s]), None]
+    assert [got[n] for n in order] == pytest.approx(_targets([sizes[n] for n in order]))
+
+
+def test_mixing_multipliers_solve_the_dual(spark):
+    rng = np.random.default_rng(1)
+    table, goals, exact = [], [], {}
+    for k in range(30):
+        q, s = rng.choice([0.1, 0.5, 1.0, 3.0], 6) * rng.random(6), rng.integers(0, 500, 6).astype(float)
+        goal = float(rng.choice([0.0, 0.3, 0.9, 1.6, 1.99, 2.0])) * s.sum()
+        table += [(str(k), float(a), float(b)) for a, b in zip(q, s)]
+        goals.append((str(k), float(goal)))
+        # the dual of one source by bisection
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (s * np.minimum(2, q * np.exp(mid))).sum() < goal else (low, mid)
+        exact[str(k)] = (s * np.minimum(2, q * np.exp(low)), q, s, goal)
+    found = mixing.multipliers(spark.createDataFrame(table, "key string, q double, s double"), spark.createDataFrame(goals, "key string, target double"))
+    for r in found.collect():
+        words, q, s, goal = exact[r["key"]]
+        mine = s * np.minimum(2, q * np.exp(r["lam"]))
+        assert mine.sum() == pytest.approx(goal, rel=1e-6, abs=1e-6)
+        if 0 < goal < 1.999 * s.sum():
+            assert mine == pytest.approx(words, rel=1e-6, abs=1e-6)
+
+
+def test_mixing_of_repeated_rows(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words[: 20 + k % 90]), "abc"[k % 3], f"row {k}") for k in range(300)]
+    rows += [(7, " ".join(words[:50]), "a", f"same {k}") for k in range(3000)] + [(None, " ".join(words[:30]), None, "x"), (None, None, None, "y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string").repartition(4)
+    names, sizes = _sources([r[:3] for r in rows])
+    goal = dict(zip(names, _targets(sizes)))
+    taken = Counter()
+    for r in mixing.op5_rows(table).collect():
+        taken[r["target"]] += r["taken"]
+    assert all(abs(taken[t] - t) <= 110 for t in goal.values())
+    kept = mixing.stage_mixing(spark, table, "")
+    assert kept.columns == table.columns
+    out = kept.collect()
+    assert max(Counter(tuple(r) for r in out).values()) <= 2
+    # rows that agree in id and text keep their own columns
+    assert len({r["copies"] for r in out if (r["copies"] or "").startswith("same")}) > 1000
+    words_of = Counter()
+    for r in out:
+        words_of[r["source"]] += len((r["text"] or "").split())
+    assert all(abs(words_of[s] - goal[s]) <= 0.05 * goal[s] + 110 for s in names)
 
 
 def test_suffix_dedup_equals_brute_force(spark, docs, empty):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import materialize, text_slices
+from ._util import materialize, text_slices, whole_groups
 
 BITS = 2
 #: A node of the index has so many children.
@@ -137,31 +137,15 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _star_edges(batches):
-    """From rows (g, fp) that lie with their group in one task: an edge to the smallest linked fingerprint of the group."""
-    held: list[pa.RecordBatch] = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    g, fp = table["g"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
-    order = np.argsort(g, kind="stable")
-    g, fp = g[order], fp[order]
-    many = np.append(False, g[1:] == g[:-1])
-    many = many | np.append(many[1:], False)
-    g, fp = g[many], fp[many]
-    bounds = np.flatnonzero(np.append(True, g[1:] != g[:-1]))[: len(g)]
-    # some hundred thousand rows at a time, whole groups
-    lo = 0
-    while lo < len(g):
-        at = int(np.searchsorted(bounds, lo + 200_000))
-        hi = int(bounds[at]) if at < len(bounds) else len(g)
-        gs, x = g[lo:hi], fp[lo:hi]
+    """From rows (g, fp) in the order of g, whole groups in one task: an edge to the smallest linked fingerprint of the group."""
+    for table in whole_groups(batches, "g", 4 << 20):
+        gs, x = table["g"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
         order = np.lexsort((gray_rank(x), gs))
         gs, x = gs[order], x[order]
         i, j = near_pairs(gs, x)
         root = roots_of(len(x), i, j)
         some = root != np.arange(len(x))
         yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)), pa.array(x[root[some]].view(np.int64))], ["a", "b"])
-        lo = hi
 
 
 def _block(x, k: int):
@@ -185,7 +169,7 @@ def links(fps: DataFrame) -> DataFrame:
     further = F.element_at(F.array(*split), F.col("t") + 1)
     groups = F.when(F.col("n") > SPLIT, further).otherwise(F.array("g"))
     dealt = dealt.select("fp", F.explode(groups).alias("g"))
-    return dealt.repartition("g").mapInArrow(_star_edges, "a long, b long").distinct()
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_star_edges, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -300,17 +284,13 @@ def _sketched(common):
     return run
 
 
-def _by_shingle(batches):
-    """Columns g, s, size, at of all rows, each set once in a group, groups together and small sets first; None without rows."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return None
-    table = pa.Table.from_batches(held)
+def _by_shingle(table: pa.Table):
+    """Columns g, s, size, at of all rows, each set once in a group, groups together and small sets first; and the places of the rows."""
     cols = {c: table[c].to_numpy() for c in table.column_names if c != "map"}
     order = np.lexsort((cols["s"], cols["size"], cols["g"]))
     g, s = cols["g"][order], cols["s"][order]
     order = order[np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1]))]
-    return {c: v[order] for c, v in cols.items()}, table, order
+    return {c: v[order] for c, v in cols.items()}, order
 
 
 def _partners(g: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -322,19 +302,17 @@ def _partners(g: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _shared(batches):
-    """From rows (g, s, size, at) that lie with their shingle in one task: those whose shingle another set of fitting size has."""
-    found = _by_shingle(batches)
-    if found is None:
-        return
-    c = found[0]
-    first = _partners(c["g"], c["size"])
-    have = np.arange(len(first)) - first
-    # a row is wanted as the larger or as the smaller side
-    wanted = np.zeros(len(first) + 1, np.int64)
-    np.add.at(wanted, first[have > 0], 1)
-    np.add.at(wanted, np.flatnonzero(have > 0) + 1, -1)
-    keep = np.cumsum(wanted)[:-1] > 0
-    yield pa.RecordBatch.from_arrays([pa.array(c[x][keep]) for x in ("g", "s", "size", "at")], ["g", "s", "size", "at"])
+    """From rows (g, s, size, at) in the order of g, whole groups in one task: those whose shingle another set of fitting size has."""
+    for table in whole_groups(batches, "g"):
+        c, _ = _by_shingle(table)
+        first = _partners(c["g"], c["size"])
+        have = np.arange(len(first)) - first
+        # a row is wanted as the larger or as the smaller side
+        wanted = np.zeros(len(first) + 1, np.int64)
+        np.add.at(wanted, first[have > 0], 1)
+        np.add.at(wanted, np.flatnonzero(have > 0) + 1, -1)
+        keep = np.cumsum(wanted)[:-1] > 0
+        yield pa.RecordBatch.from_arrays([pa.array(c[x][keep]) for x in ("g", "s", "size", "at")], ["g", "s", "size", "at"])
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -359,19 +337,20 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def _candidates(every: bool):
-    """From rows (g, s, size, at, map, root) that lie with their shingle in one task: pairs that may reach the similarity.
+    """From rows (g, s, size, at, map, root) in the order of g, whole groups in one task: pairs that may reach the similarity.
 
     every: all pairs of different roots; otherwise a least spanning forest of a run of pairs.
     """
 
     def run(batches):
-        found = _by_shingle(batches)
-        if found is None:
-            return
-        c, table, order = found
+        for table in whole_groups(batches, "g"):
+            yield from pairs(table)
+
+    def pairs(table):
+        c, order = _by_shingle(table)
         g, s, at, root = c["g"], c["s"], c["at"].astype(np.int64), c["root"]
         size = c["size"].astype(np.int64)
-        maps = np.frombuffer(b"".join(table["map"].to_pylist()), np.uint64).reshape(-1, PARITY // 64)[order]
+        maps = np.concatenate([np.frombuffer(b"".join(m.to_pylist()), np.uint64) for m in table["map"].chunks]).reshape(-1, PARITY // 64)[order]
         first = _partners(g, size)
         ends = np.cumsum(np.arange(len(g)) - first)
         lo = 0
@@ -379,10 +358,10 @@ def _candidates(every: bool):
             base = ends[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(ends, base + HELD, side="right")))
             n = np.arange(lo, hi) - first[lo:hi]
-            pairs = int(n.sum())
+            many = int(n.sum())
             heads = np.repeat(np.cumsum(n) - n, n)
             owner = np.repeat(np.arange(lo, hi), n)
-            other = np.arange(pairs) - heads + first[owner]
+            other = np.arange(many) - heads + first[owner]
             # of the common shingle that comes first in both, no set has one before it that the other has
             most = 1 + np.minimum(size[owner] - at[owner], size[other] - at[other]) - 1
             both = size[owner] + size[other]
@@ -436,7 +415,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = materialize(fields.mapInArrow(_sketched(common), schema).withColumn("n", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "n")
     nodes = materialize(rows.select("s", "map", order.alias("o")).groupBy("s").agg(F.first("map").alias("map"), F.min("o").alias("o")), "sets")
-    dealt = rows.select("s", "size", F.posexplode("g").alias("at", "g")).select("g", "s", "size", "at").repartition("g")
+    dealt = rows.select("s", "size", F.posexplode("g").alias("at", "g")).select("g", "s", "size", "at").repartition("g").sortWithinPartitions("g")
     shared = materialize(dealt.mapInArrow(_shared, "g long, s long, size int, at int"), "shared")
 
     def pairs(roots: DataFrame | None) -> DataFrame:
@@ -445,7 +424,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             held = held.withColumn("root", F.col("s"))
         else:
             held = held.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        found = held.select("g", "s", "size", "at", "map", "root").repartition("g").mapInArrow(_candidates(roots is not None), "a long, b long")
+        found = held.select("g", "s", "size", "at", "map", "root").repartition("g").sortWithinPartitions("g").mapInArrow(_candidates(roots is not None), "a long, b long")
         return found.distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +38,14 @@ def packed(bits: Column) -> Column:
 
 def may_contain(bits: Column, wanted: Column) -> Column:
     return F.size(F.array_except(wanted, bits)) == 0
+
+
+def filter_of(members: Iterable[tuple[str, bytes]]) -> bytes:
+    """The packed filter of some (kind, digest)."""
+    out = bytearray(BITS // 8)
+    for kind, digest in members:
+        for i in range(HASHES):
+            head = hashlib.sha256(LABEL + bytes([i, ("ac", "cas").index(kind)]) + digest).digest()
+            bit = int.from_bytes(head[:2], "big") % BITS
+            out[bit // 8] |= 1 << bit % 8
+    return bytes(out)

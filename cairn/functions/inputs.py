@@ -44,12 +44,12 @@ def diagnostic_mode(raw: Column) -> Column:
 
 
 def diagnostic_retention(raw: Column) -> Column:
-    days = F.when(raw.rlike("^[1-9][0-9]*$"), raw.try_cast("bigint"))
+    days = F.when(raw.rlike(r"^[1-9][0-9]*\z"), raw.try_cast("bigint"))
     return F.when(days <= RETENTION_MOST, days).otherwise(F.lit(RETENTION_DAYS).cast("bigint"))
 
 
 def artifact_name(prefix: str, run: Column, job: Column) -> Column:
-    return F.when(run.rlike("^(0|[1-9][0-9]*)$") & job.rlike("^[0-9a-f]{16}$"), F.concat(F.lit(f"{prefix}-"), run, F.lit("-"), job))
+    return F.when(run.rlike(r"^(0|[1-9][0-9]*)\z") & job.rlike(r"^[0-9a-f]{16}\z"), F.concat(F.lit(f"{prefix}-"), run, F.lit("-"), job))
 
 
 def local_retention_ms(refresh_seconds: Column) -> Column:
@@ -76,4 +76,4 @@ def number_field(json: Column, name: str, least: int, most: int = SAFE) -> Colum
     typed = F.get_json_object(json, f"$.{name}")
     quoted = json.rlike(rf'"{name}"\s*:\s*"')
     value = typed.try_cast("bigint")
-    return F.when(~quoted & typed.rlike("^-?[0-9]+$") & value.between(least, most), value)
+    return F.when(~quoted & typed.rlike(r"^-?[0-9]+\z") & value.between(least, most), value)

@@ -27,6 +27,10 @@ RULES = (
 )
 
 
+#: Fixed value: names of areas, operations and errors.
+FIELD = r"^[a-z][a-z0-9-]{0,47}\z"
+
+
 def _apply(text: Column, rules) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), rules, text)
 
@@ -44,4 +48,4 @@ def service_message(text: Column) -> Column:
 
 
 def field_or(text: Column, fallback: str) -> Column:
-    return F.when(text.rlike("^[a-z][a-z0-9-]{0,47}$"), text).otherwise(fallback)
+    return F.when(text.rlike(FIELD), text).otherwise(fallback)

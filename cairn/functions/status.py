@@ -16,7 +16,7 @@ def retry_after_ms(header: Column, now_ms: Column) -> Column:
     when = F.try_to_timestamp(F.trim(F.substring_index(header, ",", -1)), F.lit("dd MMM yyyy HH:mm:ss zzz"))
     return (
         F.when(header.isNull() | (header == ""), None)
-        .when(header.rlike("^[0-9]+$"), F.when(seconds <= (1 << 53) - 1, seconds * 1000))
+        .when(header.rlike(r"^[0-9]+\z"), F.when(seconds <= (1 << 53) - 1, seconds * 1000))
         .when(header.contains(","), F.greatest(F.lit(0).cast("bigint"), F.unix_millis(when) - now_ms))
     )
 
@@ -75,3 +75,31 @@ def abort_derived(aborted: Column, status: Column, limited: Column, conflict: Co
 
 def policy_denied(message: Column) -> Column:
     return F.lower(message).startswith("cache write denied:")
+
+
+#: Most wait between attempts of a commit, first wait between looks whether an entry is visible, and looks.
+COMMIT_MAX, LOOK, LOOKS = 10_000, 100, 5
+
+
+def commit_delay_ms(attempt: Column) -> Column:
+    """Wait before a commit's call is tried again after `attempt` (from 0) failures."""
+    return F.least(F.lit(float(COMMIT_MAX)), BACKOFF * F.pow(F.lit(2.0), attempt)).cast("bigint")
+
+
+def look_delay_ms(look: Column) -> Column:
+    """Wait after a look (from 0) that did not find an entry; null after the last."""
+    return F.when(look < LOOKS - 1, (LOOK * F.pow(F.lit(2.0), look)).cast("bigint"))
+
+
+def blob_error(status: Column, retry_ms_header: Column, retry_header: Column, now_ms: Column) -> Column:
+    """struct(retryable, limited, retry_ms) of a failed call to the blob store; a call without an answer has no status."""
+    exact = F.when(retry_ms_header.rlike(r"^[0-9]+\z"), retry_ms_header.try_cast("bigint"))
+    pause = F.when(F.coalesce(retry_ms_header.rlike(r"^[0-9]+\z"), F.lit(False)), F.when(exact <= (1 << 53) - 1, exact)).otherwise(retry_after_ms(retry_header, now_ms))
+    return F.struct((status.isNull() | status.isin(*RETRYABLE)).alias("retryable"), F.coalesce(status == 429, F.lit(False)).alias("limited"), pause.alias("retry_ms"))
+
+
+def spooled(body: Column, expected: Column, most: Column) -> Column:
+    """struct(size, sha256, status) of an uploaded body: 413 beyond `most` bytes, 400 if it has not the expected size (null: any), else 200; a refused one has no hash."""
+    size = F.octet_length(body).cast("bigint")
+    code = F.when(size > most, 413).when(size != expected, 400).otherwise(200)
+    return F.struct(size.alias("size"), F.when(code == 200, F.sha2(body, 256)).alias("sha256"), code.alias("status"))

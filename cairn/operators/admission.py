@@ -5,17 +5,10 @@ from __future__ import annotations
 import heapq
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-
-def _fold(rows: DataFrame, by: str, fold, **more: str) -> DataFrame:
-    schema = StructType(list(rows.schema.fields))
-    for name, kind in more.items():
-        schema.add(name, kind)
-    return rows.groupBy(by).applyInPandas(fold, schema)
+from .folds import fold
 
 
 def admitted(events: DataFrame, by: str, most: int) -> DataFrame:
@@ -26,37 +19,30 @@ def admitted(events: DataFrame, by: str, most: int) -> DataFrame:
     object is held, 'unknown' if not.
     """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord", kind="stable")
-        held: dict = {}
-        sizes_of: dict = {}
-        durable: deque = deque()
-        resident, out = 0, []
-        for op, key, size in zip(part["op"].tolist(), part["id"].tolist(), part["size"].tolist()):
-            if op == "complete":
-                known = held.get(key) is False
-                if known:
-                    held[key] = True
-                    durable.append(key)
-                out.append("durable" if key in held else "unknown")
-                continue
-            if key in held:
-                out.append("duplicate")
-                continue
-            while durable and size > most - resident:
-                gone = durable.popleft()
-                resident -= sizes_of.pop(gone)
-                del held[gone]
-            if size > most - resident:
-                out.append("full")
-                continue
-            held[key] = False
-            sizes_of[key] = size
-            resident += size
-            out.append("accepted")
-        return part.assign(outcome=out)
-
-    return _fold(events.select(by, "ord", "op", "id", "size"), by, fold, outcome="string")
+    def start() -> dict:
+        # whether a held object is durable, its size, durable ones in order, bytes in all
+        return {"held": {}, "sizes": {}, "durable": deque(), "resident": 0}
+
+    def step(s: dict, op: str, key: str, size: int) -> tuple[str]:
+        held, sizes, durable = s["held"], s["sizes"], s["durable"]
+        if op == "complete":
+            if held.get(key) is False:
+                held[key] = True
+                durable.append(key)
+            return ("durable" if key in held else "unknown",)
+        if key in held:
+            return ("duplicate",)
+        while durable and size > most - s["resident"]:
+            gone = durable.popleft()
+            s["resident"] -= sizes.pop(gone)
+            del held[gone]
+        if size > most - s["resident"]:
+            return ("full",)
+        held[key], sizes[key] = False, size
+        s["resident"] += size
+        return ("accepted",)
+
+    return fold(events.select(by, "ord", "op", "id", "size"), by, ["ord"], ["op", "id", "size"], start, step, outcome="string")
 
 
 def sealed_batches(arrivals: DataFrame, by: str, objects: int, target: int, age_ms: int) -> DataFrame:
@@ -67,26 +53,21 @@ def sealed_batches(arrivals: DataFrame, by: str, objects: int, target: int, age_
     rows or bytes reach the limit, else by age, and never before the batch ahead of it.
     """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at_ms", "ord"], kind="stable")
-        batches, seals, sealed = [], [], []
-        n, held, oldest, closed = 0, 0, None, None
-        for at, size in zip(part["at_ms"].tolist(), part["size"].tolist()):
-            if oldest is None or closed is not None or held + size > target or at - oldest >= age_ms:
-                if oldest is not None:
-                    sealed.append(oldest + age_ms if closed is None else closed)
-                n, held, oldest, closed = 0, 0, at, None
-            n, held = n + 1, held + size
-            if n >= objects or held >= target:
-                closed = at
-            batches.append(len(sealed))
-        if oldest is not None:
-            sealed.append(oldest + age_ms if closed is None else closed)
-        for s in sealed:
-            seals.append(max(s, seals[-1]) if seals else s)
-        return part.assign(batch=batches, seal_ms=[seals[b] for b in batches])
-
-    return _fold(arrivals.select(by, "ord", "at_ms", "size"), by, fold, batch="long", seal_ms="long")
+    def step(s: dict, at: int, size: int) -> tuple[int, int, int | None]:
+        if s["oldest"] is None or s["closed"] is not None or s["held"] + size > target or at - s["oldest"] >= age_ms:
+            s.update(batch=s["batch"] + 1, n=0, held=0, oldest=at, closed=None)
+        s["n"] += 1
+        s["held"] += size
+        if s["n"] >= objects or s["held"] >= target:
+            s["closed"] = at
+        return s["batch"], s["oldest"], s["closed"]
+
+    rows = arrivals.select(by, "ord", "at_ms", "size")
+    rows = fold(rows, by, ["at_ms", "ord"], ["at_ms", "size"], lambda: {"batch": -1, "n": 0, "held": 0, "oldest": None, "closed": None}, step, batch="long", __oldest="long", __closed="long")
+    # a batch is bounded, so its seal comes from an aggregate and the order of batches from a running maximum
+    own = rows.groupBy(by, "batch").agg(F.coalesce(F.max("__closed"), F.min("__oldest") + age_ms).alias("own"))
+    seal = F.max("own").over(Window.partitionBy(by).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.drop("__oldest", "__closed").join(own.select(by, "batch", seal.alias("seal_ms")), [by, "batch"]).select(by, "ord", "at_ms", "size", "batch", "seal_ms")
 
 
 def semaphore(requests: DataFrame, by: str, capacity: int) -> DataFrame:
@@ -95,23 +76,19 @@ def semaphore(requests: DataFrame, by: str, capacity: int) -> DataFrame:
     An amount of 0 is granted at once; one above the capacity never is (null).
     """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at_ms", "ord"], kind="stable")
-        used, ahead, releases, out = 0, None, [], []
-        for at, amount, hold in zip(part["at_ms"].tolist(), part["amount"].tolist(), part["hold_ms"].tolist()):
-            if not 0 < amount <= capacity:
-                out.append(at if amount == 0 else None)
-                continue
-            now = at if ahead is None else max(at, ahead)
-            while releases and (releases[0][0] <= now or used + amount > capacity):
-                end, freed = heapq.heappop(releases)
-                now, used = max(now, end), used - freed
-            heapq.heappush(releases, (now + hold, amount))
-            used, ahead = used + amount, now
-            out.append(now)
-        return part.assign(granted_ms=pd.array(out, dtype="Int64"))
-
-    return _fold(requests.select(by, "ord", "at_ms", "amount", "hold_ms"), by, fold, granted_ms="long")
+    def step(s: dict, at: int, amount: int, hold: int) -> tuple[int | None]:
+        if not 0 < amount <= capacity:
+            return (at if amount == 0 else None,)
+        now, used, releases = at if s["ahead"] is None else max(at, s["ahead"]), s["used"], s["releases"]
+        while releases and (releases[0][0] <= now or used + amount > capacity):
+            end, freed = heapq.heappop(releases)
+            now, used = max(now, end), used - freed
+        heapq.heappush(releases, (now + hold, amount))
+        s["used"], s["ahead"] = used + amount, now
+        return (now,)
+
+    rows = requests.select(by, "ord", "at_ms", "amount", "hold_ms")
+    return fold(rows, by, ["at_ms", "ord"], ["at_ms", "amount", "hold_ms"], lambda: {"used": 0, "ahead": None, "releases": []}, step, granted_ms="long")
 
 
 def most_recent(accesses: DataFrame, by: str, key: str, capacity: int) -> DataFrame:

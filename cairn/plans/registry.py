@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom, keys, redact, status
 from ..operators import ingest, lookup, packs, pacing
-from . import service  # noqa: F401  registers its queries
+from . import calls, control, service  # noqa: F401  register their queries
 from . import tables as t
 from .register import oracle_sql, queries, query  # noqa: F401
 
@@ -330,10 +330,7 @@ def pack_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {t.MEMBERS} SELECT pack, digest, payload FROM members")
 def pack_payloads(spark: SparkSession, d: str) -> DataFrame:
-    sealed = _sealed(spark, d)
-    rows = packs.index_rows(sealed, "pack").join(sealed, "pack").withColumn("raw", packs.payload_range(F.col("content"), F.col("offset"), F.col("length")))
-    ok = packs.verified(F.col("raw"), F.col("length"), F.col("body_sha256"), F.col("kind"), F.col("digest"))
-    return rows.where(ok).select("pack", "digest", F.col("raw").cast("string").alias("payload"))
+    return packs.payloads(_sealed(spark, d), "pack").where("good").select("pack", "digest", F.col("payload").cast("string").alias("payload"))
 
 
 @query(f"WITH {t.MEMBERS} SELECT pack, true AS contiguous, CAST(sum(strlen(payload)) + 16 + 96 * count(*) + 64 AS BIGINT) AS bytes FROM members GROUP BY pack")

@@ -112,13 +112,32 @@ def sealed_batches(spark: SparkSession, d: str) -> DataFrame:
     return admission.sealed_batches(t.log(spark, d), "writer", 8, 250, 86_400_000)
 
 
-@query()
+# q: durable objects in the order in which they became so, p: the others; a state is a row for each event
+_STORE = f"""{t.LOG}, ops AS (SELECT writer, ord, CASE WHEN ord % 3 = 2 THEN 'complete' ELSE 'accept' END AS op, kind || ':' || CAST(ord % 7 AS VARCHAR) AS id, size, row_number() OVER (PARTITION BY writer ORDER BY ord) AS i FROM log),
+f AS (SELECT writer, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id VARCHAR, size BIGINT)[]) AS q, CAST([] AS STRUCT(id VARCHAR, size BIGINT)[]) AS p, '' AS outcome FROM (SELECT DISTINCT writer FROM ops)
+ UNION ALL SELECT writer, i, CASE WHEN op = 'complete' AND waits THEN list_append(q, {{'id': id, 'size': list_filter(p, lambda x: x.id = id0)[1].size}}) WHEN op = 'accept' AND NOT waits AND NOT stays THEN q[gone + 1:] ELSE q END,
+  CASE WHEN op = 'complete' AND waits THEN list_filter(p, lambda x: x.id <> id0) WHEN outcome = 'accepted' THEN list_append(p, {{'id': id, 'size': size}}) ELSE p END, outcome
+ FROM (SELECT *, CASE WHEN op = 'complete' THEN CASE WHEN waits OR stays THEN 'durable' ELSE 'unknown' END WHEN waits OR stays THEN 'duplicate' WHEN size + pending + coalesce(list_sum(list_transform(q[gone + 1:], lambda x: x.size)), 0) > 300 THEN 'full' ELSE 'accepted' END AS outcome
+  FROM (SELECT *, len(list_filter(range(0, len(q)), lambda j: coalesce(list_sum(list_transform(q[1:j], lambda x: x.size)), 0) < size + pending + durable - 300)) AS gone
+   FROM (SELECT o.writer, o.i, o.op, o.id, o.id AS id0, o.size, f.q, f.p, len(list_filter(f.p, lambda x: x.id = o.id)) > 0 AS waits, len(list_filter(f.q, lambda x: x.id = o.id)) > 0 AS stays,
+     CAST(coalesce(list_sum(list_transform(f.p, lambda x: x.size)), 0) AS BIGINT) AS pending, CAST(coalesce(list_sum(list_transform(f.q, lambda x: x.size)), 0) AS BIGINT) AS durable FROM f JOIN ops o ON o.writer = f.writer AND o.i = f.i + 1))))"""
+
+
+@query(f"WITH RECURSIVE {_STORE} SELECT writer, o.ord, o.op, o.id, o.size, f.outcome FROM f JOIN ops o USING (writer, i)")
 def store_admission(spark: SparkSession, d: str) -> DataFrame:
     rows = t.log(spark, d).select("writer", "ord", F.when(F.col("ord") % 3 == 2, "complete").otherwise("accept").alias("op"), F.concat("kind", F.lit(":"), F.col("ord") % 7).alias("id"), "size")
     return admission.admitted(rows, "writer", 300)
 
 
-@query()
+# r: transfers under way by their end
+_TRANSFERS = f"""{t.LOG}, calls AS (SELECT writer, ord, at_ms, size AS amount, size * 600000 AS hold_ms, row_number() OVER (PARTITION BY writer ORDER BY at_ms, ord) AS i FROM log),
+f AS (SELECT writer, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(e BIGINT, a BIGINT)[]) AS r, CAST(0 AS BIGINT) AS ahead, CAST(NULL AS BIGINT) AS granted_ms FROM (SELECT DISTINCT writer FROM calls)
+ UNION ALL SELECT writer, i, CASE WHEN fits THEN list_sort(list_append(list_filter(r, lambda x: x.e > now), {{'e': now + hold_ms, 'a': amount}})) ELSE r END, CASE WHEN fits THEN now ELSE ahead END, CASE WHEN fits THEN now WHEN amount = 0 THEN at_ms END
+ FROM (SELECT *, amount BETWEEN 1 AND 120 AS fits, greatest(at_ms, ahead, CASE WHEN k > 0 THEN r[k].e ELSE 0 END) AS now
+  FROM (SELECT c.writer, c.i, c.at_ms, c.amount, c.hold_ms, f.r, f.ahead, len(list_filter(range(0, len(f.r)), lambda j: coalesce(list_sum(list_transform(f.r[j + 1:], lambda x: x.a)), 0) + c.amount > 120)) AS k FROM f JOIN calls c ON c.writer = f.writer AND c.i = f.i + 1)))"""
+
+
+@query(f"WITH RECURSIVE {_TRANSFERS} SELECT writer, c.ord, c.at_ms, c.amount, c.hold_ms, f.granted_ms FROM f JOIN calls c USING (writer, i)")
 def transfer_grants(spark: SparkSession, d: str) -> DataFrame:
     return admission.semaphore(t.log(spark, d).select("writer", "ord", "at_ms", F.col("size").alias("amount"), (F.col("size") * 600_000).alias("hold_ms")), "writer", 120)
 

@@ -12,8 +12,9 @@ OUTPUT = "kind string, digest string, ord long, outcome string"
 def _judge(key, frames, state):
     kind, digest = key
     first = state.get if state.exists else None
-    for f in frames:
-        f = f.sort_values("ord", kind="stable")
+    # the first of a trigger may be in any of its chunks
+    held = list(frames)
+    for f in [pd.concat(held).sort_values("ord", kind="stable")] if held else []:
         out = []
         for o, sha, size in zip(f["ord"].tolist(), f["body_sha256"].tolist(), f["size"].tolist()):
             if first is None:

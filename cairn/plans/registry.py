@@ -235,8 +235,8 @@ def pack_keys(spark: SparkSession, d: str) -> DataFrame:
 
 _POS = ", ".join(f"CAST(('0x' || substr(sha256(CAST('brc2-bloom-v1' AS BLOB) || unhex('00') || unhex('0{i}') || unhex(CASE kind WHEN 'ac' THEN '00' ELSE '01' END) || unhex(digest)), 1, 4)) AS INTEGER) % 2048" for i in range(5))
 _BLOOM = f"{t.MEMBERS}, pos AS (SELECT *, [{_POS}] AS p FROM members), bits AS (SELECT DISTINCT pack, unnest(p) AS bit FROM pos)"
-_PROBE = "probe AS (SELECT pack * 100 + ord AS probe_id, pack, kind, digest, p FROM pos WHERE ord % 20 = 3)"
-_CAND = f"{_BLOOM}, {_PROBE}, cand AS (SELECT q.probe_id, b.pack FROM (SELECT DISTINCT probe_id, unnest(p) AS bit FROM probe) q JOIN bits b USING (bit) GROUP BY 1, 2 HAVING count(*) = (SELECT len(list_distinct(p)) FROM probe z WHERE z.probe_id = q.probe_id))"
+# every member is a probe
+_CAND = f"{_BLOOM}, probe AS (SELECT pack * 100 + ord AS probe_id, kind, digest, list_distinct(p) AS p FROM pos), cand AS (SELECT q.probe_id, b.pack FROM (SELECT probe_id, len(p) AS need, unnest(p) AS bit FROM probe) q JOIN bits b USING (bit) GROUP BY q.probe_id, b.pack, q.need HAVING count(*) = q.need)"
 
 
 @query(f"WITH {_BLOOM} SELECT pack, count(*) AS set_bits, CAST(sum(bit) AS BIGINT) AS bit_sum FROM bits GROUP BY pack")
@@ -246,7 +246,7 @@ def bloom_filters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _probes(spark: SparkSession, d: str) -> DataFrame:
-    return t.members(spark, d).where("ord % 20 = 3").select((F.col("pack") * 100 + F.col("ord")).alias("probe_id"), "kind", "digest")
+    return t.members(spark, d).select((F.col("pack") * 100 + F.col("ord")).alias("probe_id"), "kind", "digest")
 
 
 @query(f"WITH {_CAND} SELECT probe_id, pack FROM cand")
@@ -260,25 +260,6 @@ def bloom_false_positives(spark: SparkSession, d: str) -> DataFrame:
     return lookup.false_positives(found, t.members(spark, d), _probes(spark, d)).select("probe_id", "pack")
 
 
-# every member as a probe; the two queries above keep the part of their SQL
-_ALL = f"{_BLOOM}, probe AS (SELECT pack * 100 + ord AS probe_id, kind, digest, list_distinct(p) AS p FROM pos), cand AS (SELECT q.probe_id, b.pack FROM (SELECT probe_id, len(p) AS need, unnest(p) AS bit FROM probe) q JOIN bits b USING (bit) GROUP BY q.probe_id, b.pack, q.need HAVING count(*) = q.need)"
-
-
-def _every_probe(spark: SparkSession, d: str) -> DataFrame:
-    return t.members(spark, d).select((F.col("pack") * 100 + F.col("ord")).alias("probe_id"), "kind", "digest")
-
-
-@query(f"WITH {_ALL} SELECT probe_id, pack FROM cand")
-def bloom_candidates_all(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.candidates(bloom.build(t.members(spark, d), "pack"), _every_probe(spark, d))
-
-
-@query(f"WITH {_ALL} SELECT c.probe_id, c.pack FROM cand c JOIN probe q USING (probe_id) WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.pack = c.pack AND m.digest = q.digest)")
-def bloom_false_positives_all(spark: SparkSession, d: str) -> DataFrame:
-    found = lookup.candidates(bloom.build(t.members(spark, d), "pack"), _every_probe(spark, d))
-    return lookup.false_positives(found, t.members(spark, d), _every_probe(spark, d)).select("probe_id", "pack")
-
-
 @query(f"WITH {t.CATALOG}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, id DESC, key, ref, version) AS n FROM catalog) SELECT id, key, version, ref, size_bytes, created_at FROM n WHERE n = 1 AND starts_with(key, 'store-1')")
 def catalog_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return lookup.distinct_ids(t.catalog(spark, d)).where(F.col("key").startswith("store-1"))

@@ -144,6 +144,6 @@ def test_catalog_pages_drop_bad_records_and_refuse_bad_pages(spark):
 
 
 def test_every_member_is_looked_up(spark):
-    found = registry.queries()["bloom_candidates_all"](spark, DIR)
+    found = registry.queries()["bloom_candidates"](spark, DIR)
     own = found.where("pack = floor(probe_id / 100)").count()
     assert own == spark.read.parquet(f"{DIR}/part.parquet").count()

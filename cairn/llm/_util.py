@@ -18,11 +18,16 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is set (tests) a local one is."""
+    """The folder that all executors share, from spark.checkpoint.dir; where none is set, a local session takes a temporary one and a cluster is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="cairn-")
+        if current.isDefined():
+            path = current.get()
+        elif spark.sparkContext.master.startswith("local"):
+            path = tempfile.mkdtemp(prefix="cairn-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -32,7 +37,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # Spark deletes the shuffle files of what is no longer reachable; it finds out when the driver collects garbage
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cairn_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_slices(batch: pa.RecordBatch, columns: tuple[str, ...] = ("doc_id", "text"), limit: int = SLICE_BYTES) -> Iterator[list[list]]:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import materialize
+from ._util import materialize, release
 
 WEIGHTS = (5, 2, 1)
 #: Words of the mix in all, as a share of the words of all documents; most copies of a document.
@@ -114,10 +114,11 @@ def multipliers(table: DataFrame, sources: DataFrame, most: float = MOST) -> Dat
         inside = (F.col("__bend") > 0) & (newton > F.col("__low")) & (newton < F.col("__high"))
         done = ~free | (F.abs("__gap") <= NEAR * F.greatest(F.lit(1.0), F.col("target")))
         lam = F.when(done, F.col("lam")).when(inside, newton).otherwise((F.col("__low") + F.col("__high")) / 2)
+        before = state
         state = materialize(moved.select(*columns, lam.alias("lam"), F.col("__low").alias("low"), F.col("__high").alias("high"), done.alias("done")), "multipliers")
+        release(before)
         if state.where(~F.col("done")).isEmpty():
             break
-        state = state.drop("done")
     return state.select(*columns, "lam")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import materialize, text_slices, whole_groups
+from ._util import materialize, release, text_slices, whole_groups
 
 BITS = 2
 #: A node of the index has so many children.
@@ -186,9 +186,13 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small, "edges")
         # stars are done when every node has one edge and no root has one
         again = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a").union(now.join(now.select(F.col("a").alias("b")), "b", "left_semi").select("a"))
+        done = again.isEmpty()
+        release(edges)
         edges = now
-        if again.isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if done:
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._cairn_path = edges._cairn_path
+            return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -432,12 +436,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
         wanted = nodes.join(ends, "s", "left_semi").select("s", F.col("o.n").alias("n"))
         texts = materialize(rows.select("n", F.col("row.text").alias("text")).join(wanted, "n").select("s", "text"), "texts")
         sides = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
-        return materialize(sides.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+        out = materialize(sides.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+        release(texts)
+        return out
 
     first = materialize(pairs(None), "pairs")
     linked = verified(first)
-    rest = materialize(pairs(components(linked)).join(first, ["a", "b"], "left_anti"), "pairs")
-    roots = components(linked.union(verified(rest)))
+    known = components(linked)
+    rest = materialize(pairs(known).join(first, ["a", "b"], "left_anti"), "pairs")
+    release(known, first, shared)
+    more = verified(rest)
+    roots = components(linked.union(more))
+    release(rest, linked, more)
     grouped = nodes.select("s", "o").join(roots, nodes["s"] == roots["node"], "left")
     stays = grouped.groupBy(F.coalesce("root", "s")).agg(F.min("o").alias("o")).select(F.col("o.n").alias("n"), F.lit(True).alias("keep"))
     return rows.select("row", "n").join(stays, "n", "left").select("row", F.coalesce("keep", F.lit(False)).alias("keep"))

@@ -42,7 +42,7 @@ WORDS, CLASSES, STATE = 1024, 32, 16
 #: Words whose counts are broadcast.
 FREQUENT = 65536
 #: Bytes of text of a slice; rounds, each over its own part of all training documents.
-SLICE, ROUNDS = 16 << 20, 4
+SLICE, ROUNDS = 8 << 20, 4
 #: Streams of documents that are trained side by side at most, words of a window, windows of a shard at least where it is small, words of a piece of a document.
 STREAMS, SPAN, WINDOWS, PIECE = 256, 16, 64, 1024
 #: Step of the optimizer in the first round.

@@ -6,12 +6,15 @@ means m and standard deviations s, x.y <= L m_x m_y + L s_x s_y. Levels of 1, 4
 segments are tried in turn, coarse to fine; pairs whose bound stays below the query's k-th
 best product so far are dropped, and exact integer products are taken of the survivors.
 
-Queries are handled in blocks of bounded bytes, each broadcast against all rows.
+Candidates are dealt into blocks of bounded bytes, by place and not by id, and every query
+goes to every block. A task sorts its rows by Spark: the candidates of a block come first
+and are held, the queries stream past them. Nothing goes through the driver.
 
 Edge cases: null vectors and vectors with a null, NaN or infinite component take no part;
 vectors are compared with those of their own length; ties go to the smaller vec_id; equal
-ids are not compared with each other; repeated rows count as one candidate; empty tables
-give no rows; other columns are ignored.
+ids are not compared with each other; rows that repeat an id count once, with the best score
+of their vectors, as candidates and as queries; empty tables give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that are broadcast at a time.
-BLOCK_BYTES = 16 << 20
+from ._util import partitions, pieces
+
+#: Bytes of the candidates of a block.
+BLOCK_BYTES = 32 << 20
 SEGMENTS = (1, 4, 16)
 #: Candidates, and queries, that a task compares at a time: before bounds are known all pairs of a tile survive.
 TILE = 256
@@ -76,25 +81,33 @@ class Best:
         self.least[q[full]] = score[full]
 
 
-def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, best: Best, q_stats: list[np.ndarray]) -> None:
-    """Compares all queries with a tile of candidates, coarse to fine."""
-    stats = statistics(c.astype(float))
+class Tile:
+    """Vectors of one length with their statistics."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        whole = x.astype(float)
+        self.stats, self.norm = statistics(whole), np.linalg.norm(whole, axis=1)
+
+
+def search(query: Tile, other: Tile, best: Best) -> None:
+    """Compares a tile of queries with a tile of candidates, coarse to fine."""
     # rounding of the bounds is far below this share of the norms
-    slack = 1e-9 * (np.linalg.norm(q.astype(float), axis=1)[:, None] * np.linalg.norm(c.astype(float), axis=1)[None, :] + 1)
-    bound = q_stats[0] @ stats[0].T + slack
+    slack = 1e-9 * (query.norm[:, None] * other.norm[None, :] + 1)
+    bound = query.stats[0] @ other.stats[0].T + slack
     qi, ci = np.nonzero(bound >= best.least[:, None])
-    for own, other in zip(q_stats[1:], stats[1:]):
+    for own, theirs in zip(query.stats[1:], other.stats[1:]):
         if len(qi) * 4 > bound.size:
-            fine = (own @ other.T + slack)[qi, ci]
+            fine = (own @ theirs.T + slack)[qi, ci]
         else:
-            fine = np.einsum("ij,ij->i", own[qi], other[ci]) + slack[qi, ci]
+            fine = np.einsum("ij,ij->i", own[qi], theirs[ci]) + slack[qi, ci]
         keep = fine >= best.least[qi]
         qi, ci = qi[keep], ci[keep]
-    keep = qid[qi] != cid[ci]
+    keep = query.ids[qi] != other.ids[ci]
     qi, ci = qi[keep], ci[keep]
-    score = exact(q[qi], c[ci])
+    score = exact(query.x[qi], other.x[ci])
     keep = score >= best.least[qi]
-    best.add(qi[keep], cid[ci[keep]], score[keep])
+    best.add(qi[keep], other.ids[ci[keep]], score[keep])
 
 
 def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5, scale: float = 256.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -105,47 +118,65 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5,
     most = float(1 << 62)
     whole = F.transform(x, lambda v: F.floor(F.when(v.isNotNull() & ~F.isnan(v.cast("double")), F.greatest(F.lit(-most), F.least(F.lit(most), v.cast("double") * scale)))).cast("long"))
     rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad & (F.size(x) > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
-    queries = rows.where(is_query(F.col("vec_id")))
-    shape = queries.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score long"
-    found = spark.createDataFrame([], schema)
-    for s in shape:
-        blocks = max(1, -(-s["n"] * s["dim"] * 8 // block_bytes))
-        for block in range(blocks):
-            mine = queries.where((F.size("v") == s["dim"]) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block))
-            table = mine.toArrow()
-            ids = table["vec_id"].to_numpy()
-            if not len(ids):
-                continue
-            order = np.argsort(ids, kind="stable")
-            ids, at = np.unique(ids[order], return_index=True)
-            matrix = np.array(table["v"].combine_chunks().flatten()).reshape(-1, s["dim"])[order][at].astype(np.int64)
-            found = found.union(rows.where(F.size("v") == s["dim"]).mapInArrow(_against(spark.sparkContext.broadcast((ids, matrix)), k), schema))
+    asked = is_query(F.col("vec_id"))
+    size = rows.agg(F.sum(F.size("v")).alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if(asked).alias("queries")).first()
+    # so many blocks that they are bounded; where that is few, some more for the tasks as long as the copies of the queries do not outgrow the rows
+    blocks = max(pieces(8 * (size["n"] or 0), block_bytes), min(partitions(spark), size["rows"] // max(1, size["queries"])))
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    held = rows.select(place.alias("block"), F.lit(False).alias("query"), "vec_id", "v")
+    queries = rows.where(asked).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "vec_id", "v")
+    dealt = held.union(queries).repartition(blocks, "block").sortWithinPartitions("block", "query")
+    found = dealt.mapInArrow(_against(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _against(shared, k: int):
+def _against(k: int):
     def run(batches):
-        qid, q = shared.value
-        q_stats = statistics(q.astype(float))
-        best = Best(len(qid), k)
+        block, tiles, waiting = None, {}, {}
+
+        def answered(dim: int) -> pa.RecordBatch:
+            ids, x = (np.concatenate(p) for p in zip(*waiting.pop(dim)))
+            query, best = Tile(ids, x), Best(len(ids), k)
+            for n, other in enumerate(tiles.get(dim, ())):
+                # statistics are made once, when the first queries come
+                if not isinstance(other, Tile):
+                    other = tiles[dim][n] = Tile(*other)
+                search(query, other, best)
+            return pa.RecordBatch.from_arrays([pa.array(ids[best.q], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.score, pa.int64())], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            cid = batch.column(0).to_numpy(zero_copy_only=False)
-            c = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(cid), -1)
-            for lo in range(0, len(cid), TILE):
-                for a in range(0, len(qid), TILE):
-                    part = Best(0, k)
-                    part.least = best.least[a : a + TILE]
-                    part.q, part.id, part.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    search(qid[a : a + TILE], q[a : a + TILE], cid[lo : lo + TILE], c[lo : lo + TILE], part, [x[a : a + TILE] for x in q_stats])
-                    best.add(part.q + a, part.id, part.score)
-        yield pa.RecordBatch.from_arrays([pa.array(qid[best.q], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.score, pa.int64())], ["query_id", "vec_id", "score"])
+            for own, query, ids, x in _runs(batch):
+                if own != block:
+                    yield from map(answered, list(waiting))
+                    block, tiles = own, {}
+                dim = x.shape[1]
+                for lo in range(0, len(ids), TILE):
+                    part = ids[lo : lo + TILE], x[lo : lo + TILE]
+                    if not query:
+                        tiles.setdefault(dim, []).append(part)
+                        continue
+                    waiting.setdefault(dim, []).append(part)
+                    if sum(len(i) for i, _ in waiting[dim]) >= TILE:
+                        yield answered(dim)
+        yield from map(answered, list(waiting))
 
     return run
 
 
+def _runs(batch: pa.RecordBatch):
+    """Runs of rows of one block, kind and length: block, whether they are queries, ids and a matrix."""
+    block, query, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+    ends = batch.column(3).offsets.to_numpy()
+    flat = batch.column(3).values.to_numpy(zero_copy_only=False)
+    dim = np.diff(ends)
+    new = np.append(True, (block[1:] != block[:-1]) | (query[1:] != query[:-1]) | (dim[1:] != dim[:-1]))[: len(ids)]
+    start = np.flatnonzero(new).tolist()
+    for a, b in zip(start, [*start[1:], len(ids)]):
+        yield int(block[a]), bool(query[a]), ids[a:b].copy(), flat[ends[a] : ends[b]].reshape(b - a, -1).copy()
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0)

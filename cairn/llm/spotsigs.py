@@ -12,7 +12,7 @@ along; words of over LONG_WORD bytes beyond ASCII (scripts without blanks) count
 
 Edge cases: a text without signatures has one for its whole word sequence; null and blank
 texts have none, the fingerprint is empty, and two empty sets have likeness 1; rows with
-equal ids are ordered by their text's hash; a null id comes last in descending order; one
+equal ids are ordered by their text's hash, descending as well; a null id comes last in descending order; one
 document is its own next; an empty table gives no rows; other columns are ignored.
 """
 
@@ -121,33 +121,79 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), "b", "likeness").distinct()
 
 
+class Ranges:
+    """Ranges of rows (key, tie) in their order, of about as many rows each.
+
+    Bounds are quantiles of the key, so keys that occur. A key that is several of them has as
+    many ranges, by its tie: one key may have any share of the rows.
+    """
+
+    def __init__(self, rows: DataFrame):
+        n = 4 * partitions(rows.sparkSession)
+        at = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n).alias("at"), F.max("key").alias("top")).first()
+        cuts = [*(at["at"] or []), *([] if at["top"] is None else [at["top"]])]
+        self.bounds, self.times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.base = np.cumsum(self.times) - self.times
+        self.last: dict[int, tuple[int, int]] | None = None
+        if (self.times > 1).any():
+            # ranges by tie may be empty, and their last rows are not known from the bounds
+            top = rows.select("key", "tie").mapInArrow(self._tops, "range long, key long, tie long").groupBy("range").agg(F.max(F.struct("key", "tie")).alias("m"))
+            self.last = {r["range"]: (r["m"]["key"], r["m"]["tie"]) for r in top.collect()}
+        self.used = np.array(sorted(self.last) if self.last else self.base, np.int64)
+
+    def of(self, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.bounds, key)
+        share = (tie.astype(np.float64) / 2.0**64 + 0.5) * self.times[k]
+        part = np.minimum(share.astype(np.int64), self.times[k] - 1)
+        return self.base[k] + np.where(key == self.bounds[k], part, 0)
+
+    def _tops(self, batches):
+        for batch in batches:
+            key, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            to = self.of(key, tie)
+            order = np.lexsort((tie, key, to))
+            end = order[np.append(to[order][1:] != to[order][:-1], True)[: len(order)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[end]) for x in (to, key, tie)], ["range", "key", "tie"])
+
+    def last_rows(self, key: np.ndarray, tie: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Places of the rows that may be the last of their range, one of equal rows."""
+        if self.last is None:
+            return np.flatnonzero(self.bounds[np.searchsorted(self.base, to, side="right") - 1] == key)
+        found = {}
+        for r in np.unique(to).tolist():
+            at = np.flatnonzero((to == r) & (key == self.last[r][0]) & (tie == self.last[r][1]))
+            if len(at):
+                found[r] = int(at[0])
+        return np.array(list(found.values()), np.int64)
+
+    def after(self, to: np.ndarray) -> np.ndarray:
+        """The next range that has rows; after the last comes the first."""
+        return self.used[(np.searchsorted(self.used, to) + 1) % max(1, len(self.used))]
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its text with the second half from the next document, and their likenesses."""
     spark = docs.sparkSession
     anchors = spark.sparkContext.broadcast(common_words(docs))
-    # bounds between ranges of ids are ids that occur, so each range's neighbour is known by its id
-    n = 4 * partitions(spark)
-    at = docs.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(_LEAST)), [k / n for k in range(1, n + 1)], 20 * n).alias("at"), F.max(F.coalesce("doc_id", F.lit(_LEAST))).alias("top")).first()
-    bounds = np.array(sorted({*(at["at"] or []), *([] if at["top"] is None else [at["top"]])}), np.int64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), F.xxhash64("text").alias("tie"), "text")
+    ranges = Ranges(rows)
 
     def deal(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        last = len(bounds) - 1
         for batch in batches:
-            for ids, texts in text_slices(batch):
-                key = np.array([_LEAST if i is None else i for i in ids], np.int64)
-                to = np.searchsorted(bounds, key)
-                raw = [(t or "").encode() for t in texts]
-                data = list(map(pack, raw))
-                tie = [xxhash.xxh64_intdigest(r) >> 1 for r in raw]
-                # the largest of a range precedes the next range; the largest of all precedes the first
-                copy = np.flatnonzero(bounds[to] == key).tolist()
-                rows = list(range(len(ids))) + copy
-                target = to.tolist() + [(int(to[k]) + 1) % (last + 1) for k in copy]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(target, pa.int32()), pa.array([k < len(ids) for k in range(len(rows))]), pa.array([ids[k] for k in rows], pa.int64()), pa.array([tie[k] for k in rows], pa.int64()), pa.array([data[k] for k in rows], pa.binary())],
-                    ["range", "own", "doc_id", "tie", "data"],
-                )
+            start = 0
+            for (texts,) in text_slices(batch, ("text",)):
+                part = batch.slice(start, len(texts))
+                start += len(texts)
+                key, tie = part.column(1).to_numpy(), part.column(2).to_numpy()
+                to = ranges.of(key, tie)
+                data = pa.array([pack((t or "").encode()) for t in texts], pa.binary())
+                # the last row of a range precedes the next range's, the last of all the first; of equal rows one does
+                last = ranges.last_rows(key, tie, to)
+                at = pa.array(np.append(np.arange(len(texts)), last))
+                target = np.append(to, ranges.after(to[last])).astype(np.int32)
+                own = np.append(np.ones(len(texts), bool), np.zeros(len(last), bool))
+                yield pa.RecordBatch.from_arrays([pa.array(target), pa.array(own), *(part.column(c).take(at) for c in range(3)), data.take(at)], ["range", "own", "doc_id", "key", "tie", "data"])
 
     def compare(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -155,7 +201,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         before = None
         for batch in batches:
             out = []
-            for own, i, data in zip(*[batch.column(k).to_pylist() for k in (1, 2, 4)]):
+            for own, i, data in zip(*[batch.column(k).to_pylist() for k in (1, 2, 5)]):
                 text = unpack(data).decode()
                 sigs = signatures(text, known)
                 if own:
@@ -167,9 +213,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "range int, own boolean, doc_id long, tie long, data binary")
-    rows = dealt.repartition(partitions(spark), "range").sortWithinPartitions("range", "own", F.coalesce("doc_id", F.lit(_LEAST)), "tie")
-    return rows.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = rows.mapInArrow(deal, "range int, own boolean, doc_id long, key long, tie long, data binary")
+    ordered = dealt.repartition(partitions(spark), "range").sortWithinPartitions("range", "own", "key", "tie")
+    return ordered.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import gru_lm, language_id, mixing, sharding, simhash, spotsigs, suffix_dedup, topk_search
@@ -77,14 +78,32 @@ def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 20)).astype(np.float32)
     x[100:140] = x[7]
-    rows = [(k, v.tolist(), "q") for k, v in enumerate(x)] + [(900, None, ""), (950, [1.0, None], ""), (1000, [float("nan")] * 20, ""), (1050, [float("inf")] * 20, ""), (1100, [1.0, 2.0], "")]
-    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string").repartition(3), lambda i: i % 50 == 0, block_bytes=500).collect()
+    rows = [(k, v.tolist(), "q") for k, v in enumerate(x)] + [(900, None, ""), (950, [1.0, None], ""), (1000, [float("nan")] * 20, ""), (1050, [float("inf")] * 20, ""), (1100, [1.0, 2.0], ""), (None, x[0].tolist(), "")]
     v = np.floor(256 * x.astype(float)).astype(int)
     want = [(q, n + 1, c, s) for q in range(0, 300, 50) for n, (s, c) in enumerate(sorted((-int(v[q] @ v[c]), c) for c in range(300) if c != q)[:5])]
-    assert sorted(map(tuple, got)) == sorted((q, n, c, -s) for q, n, c, s in want)
+    for block_bytes in (500, 5000, 1 << 20):
+        got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string").repartition(3), lambda i: i % 50 == 0, block_bytes=block_bytes).collect()
+        assert sorted(map(tuple, got)) == sorted((q, n, c, -s) for q, n, c, s in want)
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), rng.normal(size=n).astype(np.float32).tolist()) for n in (3, 8) for k in rng.integers(0, 120, 200)]
+    rows += [(7, rows[0][1])] * 400
+    v = [(i, np.floor(256 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows]
+    best: dict = {}
+    for q, a in v:
+        for c, b in v:
+            if q % 50 == 0 and q != c and len(a) == len(b):
+                best[q, c] = max(best.get((q, c), -(1 << 62)), int(a @ b))
+    want = []
+    for q in {q for q, _ in best}:
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(sorted((-s, c) for (p, c), s in best.items() if p == q)[:5])]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), lambda i: i % 50 == 0, block_bytes=4000).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def _jump(key, n):
     b, j = -1, 0
     while j < n:
@@ -304,19 +323,88 @@ def test_language_model_gradient_and_distribution():
     assert gru_lm.score(net, docs[:5]) == pytest.approx(one, rel=1e-4)
 
 
-def test_spotsigs(spark, docs, empty):
-    got = {r["doc_id"]: r for r in spotsigs.fingerprint_edits(docs).collect()}
-    texts = _local(docs)
-    order = sorted(texts, reverse=True)
-    for k, i in enumerate(order):
-        t, nxt = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+def _spots(text, anchors):
+    """Spot signatures by a plain loop over the words."""
+    words = (text or "").encode().lower().split()
+    out = set()
+    for w in words:
+        if len(w) > spotsigs.LONG_WORD and not w.isascii():
+            words = [c for x in words for c in ([y.encode() for y in x.decode()] if len(x) > spotsigs.LONG_WORD and not x.isascii() else [x])]
+            break
+    bare = [w.strip(spotsigs._MARKS) for w in words]
+    for k, w in enumerate(bare):
+        if w in anchors:
+            following = [words[j] for j in range(k + 1, len(words)) if bare[j] not in anchors][: spotsigs.CHAIN]
+            if len(following) == spotsigs.CHAIN:
+                out.add(b" ".join([w, *following]))
+        elif not any(x in anchors for x in bare[max(0, k - spotsigs.REACH) : k + spotsigs.REACH + 1]) and k + spotsigs.CHAIN < len(words):
+            out.add(b"\1" + b" ".join(words[k : k + spotsigs.CHAIN + 1]))
+    if not out and words:
+        out.add(b"\0" + b" ".join(words))
+    return {xxhash.xxh32_intdigest(x) for x in out}
+
+
+def _alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def _check_spotsigs(spark, table):
+    rows = [(r["doc_id"], r["text"], r["tie"]) for r in table.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect()]
+    seen = Counter()
+    for _, t, _ in rows:
+        seen.update({w for w in {x.strip(spotsigs._MARKS) for x in spotsigs.words_of(t or "")} if 0 < len(w) <= spotsigs.ANCHOR_BYTES})
+    anchors = {w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: spotsigs.ANCHORS]}
+    assert spotsigs.common_words(table) == anchors
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]), reverse=True)
+    written = lambda s: spotsigs.written(np.array(sorted(s), np.uint32))
+    want = Counter()
+    for k, (i, t, _) in enumerate(rows):
+        t, following = t or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(t) // 2
-        r = got[i]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest())
-        assert 0 <= r["near_next"] <= 1 and 0 <= r["near_edited"] <= 1
-    assert got[3]["fingerprint"] == got[94]["fingerprint"] and spotsigs.fingerprint_edits(empty).count() == 0
-    sets = spark.createDataFrame([(1, list(range(20))), (2, list(range(1, 20))), (3, list(range(50, 70)))], "id long, sigs array<long>")
-    assert [(r["a"], r["b"]) for r in spotsigs.similar_pairs(sets).collect()] == [(1, 2)]
+        edited = t[: len(t) - half] + following[:half]
+        own, changed, other = _spots(t, anchors), _spots(edited, anchors), _spots(following, anchors)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), written(own), written(changed), round(_alike(own, changed), 9), round(_alike(own, other), 9)] += 1
+    got = Counter((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in spotsigs.fingerprint_edits(table).collect())
+    assert got == want
+    return got
+
+
+def test_spotsigs_equal_brute_force(spark, docs, empty):
+    got = {g[0]: g for g in _check_spotsigs(spark, docs)}
+    assert got[3][3] == got[94][3] and spotsigs.fingerprint_edits(empty).count() == 0
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    _check_spotsigs(spark, real.where("doc_id % 3 = 0").withColumn("key", F.lit("x")))
+
+
+def test_spotsigs_of_equal_and_null_ids(spark):
+    rnd = random.Random(14)
+    words = [f"w{k}" for k in range(60)] + ["the", "of"] * 15
+    text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 40)))
+    rows = [(None, text()) for _ in range(150)] + [(7, text()) for _ in range(150)] + [(k, text()) for k in range(100, 180)] + [(7, "the same of all")] * 20 + [(5, None), (5, "")]
+    _check_spotsigs(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    _check_spotsigs(spark, spark.createDataFrame([(None, text()) for _ in range(40)], "doc_id long, text string"))
+    _check_spotsigs(spark, spark.createDataFrame([(1, "alone of the one")], "doc_id long, text string"))
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    rnd = random.Random(15)
+    # signatures that a third of the sets share, families of near copies, sizes from 1 to 400
+    sets = {}
+    for k in range(60):
+        base = rnd.sample(range(10**6), rnd.choice([1, 2, 5, 20, 80, 400]))
+        for _ in range(4):
+            own = set(base)
+            for x in rnd.sample(base, rnd.randrange(1 + len(base) // 6)):
+                own.discard(x)
+                own.add(rnd.randrange(10**6))
+            sets[len(sets)] = frozenset(own | ({5, 6} if k % 3 == 0 else set()))
+    distinct = {}
+    for i, x in sets.items():
+        distinct.setdefault(x, i)
+    want = {(a, b) for x, a in distinct.items() for y, b in distinct.items() if a < b and len(x & y) >= 0.8 * len(x | y)}
+    table = spark.createDataFrame([(i, sorted(x)) for x, i in distinct.items()], "id long, sigs array<long>").repartition(3)
+    got = spotsigs.similar_pairs(table).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 30
 
 
 def test_language_id(spark, docs, empty):
@@ -329,6 +417,38 @@ def test_language_id(spark, docs, empty):
     assert out.where("lang = lang_pred").count() >= 0.97 * out.count()
 
 
+def test_language_stage_drops_what_is_in_no_language(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    more = spark.createDataFrame([(-1, "xqzj vbkw pfgh zzkq jjwx qqvv", None, "s", 1), (-2, None, "en", "s", 1), (-3, "%%% 12 !!", "fr", "s", 1), (None, real.first()["text"], None, None, 1), (-4, "Привет как дела что нового", None, "s", 1)], real.schema)
+    out = language_id.stage_language(spark, real.union(more).withColumn("score", F.lit("x")), "")
+    assert out.columns == [*real.columns, "score"]
+    kept = out.collect()
+    # the classifier's own prediction of every text, one at a time
+    langs, matrix = language_id.fit(real.union(more).where(language_id.crc_of_id() % 3 != 1).select("doc_id", "text", "lang"))
+    rows = [*real.collect(), *more.collect()]
+    want = Counter()
+    for r in rows:
+        clean = " ".join("".join(ch if ch.isalpha() else " " for ch in (r["text"] or "").lower()).split())
+        if not clean:
+            continue
+        grams = language_id.ngram_buckets([r["text"]])[0]
+        total = matrix[:, grams].sum(axis=1, dtype=float)
+        mean = total / (len(grams) / language_id.ORDERS)
+        odds = np.exp(mean - mean.max())
+        top = int((total + matrix[:, -1]).argmax())
+        if odds[top] / odds.sum() >= language_id.SURE:
+            want[r["doc_id"], langs[top]] += 1
+    assert Counter((r["doc_id"], r["lang"]) for r in kept) == want
+    ids = {r["doc_id"] for r in kept}
+    assert ids >= {r["doc_id"] for r in real.select("doc_id").collect()} and None in ids and not ids & {-1, -2, -3, -4}
+
+
+def test_pipeline_runs_over_documents(spark):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     import corpus_pipeline
 

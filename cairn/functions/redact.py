@@ -49,3 +49,20 @@ def service_message(text: Column) -> Column:
 
 def field_or(text: Column, fallback: str) -> Column:
     return F.when(text.rlike(FIELD), text).otherwise(fallback)
+
+
+#: Letters of a digest that an event shows, and of a message at most.
+SHOWN, MOST = 12, 500
+
+
+def event(area: Column, operation: Column, kind: Column, digest: Column, name: Column, message: Column, status: Column, aborted: Column) -> Column:
+    """struct of an error as a journal keeps it: names that fit their pattern, the beginning of a digest, a redacted message, whether it only says that something was cancelled."""
+    text = F.substring(diagnostic_text(message), 1, MOST)
+    stopped = aborted | (name == "AbortError") | text.rlike(r"(?i)\babort(?:ed)?\b")
+    # a name in capitals inside becomes one with hyphens
+    bare = F.lower(F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", "-"))
+    return F.struct(
+        field_or(area, "unknown").alias("area"), field_or(operation, "unknown").alias("operation"), F.when(kind.isin("ac", "cas"), kind).alias("kind"),
+        F.when(digest.rlike(r"^[0-9a-f]{64}\z"), F.substring(digest, 1, SHOWN)).alias("digest_prefix"), field_or(bare, "error").alias("name"), text.alias("message"),
+        F.when(status.between(100, 599), status).alias("status"), F.coalesce(stopped, F.lit(False)).alias("aborted"),
+    )

@@ -65,6 +65,11 @@ def _tested(shared):
     return run
 
 
+def held(probes: DataFrame, index: DataFrame) -> DataFrame:
+    """probe_id with the index row (pack, ordinal, offset, length) of every pack that holds the probe."""
+    return probes.select("probe_id", "kind", "digest").join(index.select("kind", "digest", "pack", "ordinal", "offset", "length"), ["kind", "digest"]).drop("kind", "digest")
+
+
 def false_positives(found: DataFrame, members: DataFrame, probes: DataFrame) -> DataFrame:
     """Candidates whose pack does not hold the probe."""
     named = found.join(probes.select("probe_id", "kind", "digest"), "probe_id")

@@ -186,3 +186,26 @@ def contiguous(entries: DataFrame, by: str) -> DataFrame:
     place = (F.row_number().over(order) - 1) == F.col("ordinal")
     start = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == F.col("offset")
     return entries.withColumn("__ok", place & start).groupBy(by).agg(F.bool_and("__ok").alias("contiguous"))
+
+
+def entry_problems(entries: DataFrame, by: str) -> DataFrame:
+    """Adds problem to index rows (by, kind, ordinal, digest, offset, length, body_sha256), null where all is well.
+
+    Ordinals go from 0 without a gap, payloads lie back to back in their order, a content
+    object's digest is the hash of its body, and no identity occurs twice.
+    """
+    order = Window.partitionBy(by).orderBy("ordinal", "kind", "digest")
+    place = F.row_number().over(order) - 1
+    start = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    again = F.count(F.lit(1)).over(Window.partitionBy(by, "kind", "digest")) > 1
+    rows = entries.withColumns({"__place": place, "__start": start, "__again": again})
+    problem = F.when(~F.col("kind").isin(*KINDS), "kind").when(F.col("ordinal") != F.col("__place"), "ordinal").when(F.col("offset") != F.col("__start"), "offset")
+    problem = problem.when((F.col("kind") == "cas") & (F.col("digest") != F.col("body_sha256")), "digest").when(F.col("__again"), "identity")
+    return rows.withColumn("problem", problem).drop("__place", "__start", "__again")
+
+
+def checked_sources(objects: DataFrame) -> DataFrame:
+    """Adds problem to objects (payload, size, body_sha256): what changed since they were accepted, 'short', 'long' or 'changed'."""
+    n = F.octet_length("payload")
+    problem = F.when(n < F.col("size"), "short").when(n > F.col("size"), "long").when(F.sha2("payload", 256) != F.col("body_sha256"), "changed")
+    return objects.withColumn("problem", problem)

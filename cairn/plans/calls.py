@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, status
-from ..operators import commits, lookup
+from ..operators import commits, lookup, packs
 from . import tables as t
 from .register import query
 
@@ -119,3 +119,38 @@ def filter_texts(spark: SparkSession, d: str) -> DataFrame:
     spoilt = F.concat(F.lit("brc2-"), bare, F.lit("-pack-7-"), bare, F.lit("-000003-"), text, F.lit("-"), bare)
     found = keys.decoded_filter(text)
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", found.isNotNull().alias("decodes"), F.hex(found).alias("raw"), key.isNotNull().alias("has_key"), keys.parse_pack_key(spoilt).isNotNull().alias("parses"))
+
+
+_ENTRIES = f"""{t.MEMBERS}, e AS (SELECT pack, CASE WHEN ord % 31 = 7 THEN 'xx' ELSE kind END AS kind, row_number() OVER w - 1 + CASE WHEN pack % 3 = 1 AND ord > 60 THEN 1 ELSE 0 END AS ordinal, CASE WHEN ord % 29 = 3 THEN sha256(digest) ELSE digest END AS digest,
+CAST(coalesce(sum(strlen(payload)) OVER (PARTITION BY pack ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN ord % 23 = 5 THEN 1 ELSE 0 END AS BIGINT) AS "offset", strlen(payload) AS length, CASE WHEN ord % 19 = 2 THEN 'other' ELSE CASE WHEN ord % 29 = 3 THEN sha256(digest) ELSE digest END END AS body_sha256
+FROM members WINDOW w AS (PARTITION BY pack ORDER BY ord)), f AS (SELECT * FROM e UNION ALL SELECT pack, kind, ordinal + 1000, digest, "offset", length, body_sha256 FROM e WHERE ordinal = 4)"""
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("pack").orderBy("ord")
+    n = F.octet_length("payload").cast("long")
+    digest = F.when(F.col("ord") % 29 == 3, F.sha2("digest", 256)).otherwise(F.col("digest"))
+    e = t.members(spark, d).select(
+        "pack", F.when(F.col("ord") % 31 == 7, "xx").otherwise(F.col("kind")).alias("kind"), (F.row_number().over(w) - 1 + F.when((F.col("pack") % 3 == 1) & (F.col("ord") > 60), 1).otherwise(0)).cast("long").alias("ordinal"), digest.alias("digest"),
+        (F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.when(F.col("ord") % 23 == 5, 1).otherwise(0)).alias("offset"), n.alias("length"), F.when(F.col("ord") % 19 == 2, "other").otherwise(digest).alias("body_sha256"),
+    )
+    return e.union(e.where("ordinal = 4").withColumn("ordinal", F.col("ordinal") + 1000))
+
+
+@query(f"""WITH {_ENTRIES}, w AS (SELECT *, row_number() OVER o - 1 AS place, coalesce(sum(length) OVER (PARTITION BY pack ORDER BY ordinal, kind, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_, count(*) OVER (PARTITION BY pack, kind, digest) AS times FROM f WINDOW o AS (PARTITION BY pack ORDER BY ordinal, kind, digest))
+SELECT pack, ordinal, kind, digest, CASE WHEN kind NOT IN ('ac', 'cas') THEN 'kind' WHEN ordinal <> place THEN 'ordinal' WHEN "offset" <> start_ THEN 'offset' WHEN kind = 'cas' AND digest <> body_sha256 THEN 'digest' WHEN times > 1 THEN 'identity' END AS problem FROM w""")
+def entry_problems(spark: SparkSession, d: str) -> DataFrame:
+    return packs.entry_problems(_entries(spark, d), "pack").select("pack", "ordinal", "kind", "digest", "problem")
+
+
+@query(f"""WITH {t.LOG} SELECT ord, CASE WHEN strlen(body) < size - writer % 7 THEN 'short' WHEN strlen(body) > size - writer % 7 THEN 'long' WHEN sha256(body) <> body_sha256 THEN 'changed' END AS problem FROM log""")
+def changed_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = t.log(spark, d).select("ord", F.col("body").cast("binary").alias("payload"), (F.col("size") - F.col("writer") % 7).alias("size"), "body_sha256")
+    return packs.checked_sources(rows).select("ord", "problem")
+
+
+@query(f"""WITH {t.MEMBERS}, i AS (SELECT pack, kind, digest, row_number() OVER (PARTITION BY pack ORDER BY ord) - 1 AS ordinal, CAST(coalesce(sum(strlen(payload)) OVER (PARTITION BY pack ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", strlen(payload) AS length FROM members)
+SELECT m.pack * 100 + m.ord AS probe_id, i.pack, i.ordinal, i."offset", i.length FROM members m JOIN i ON i.kind = m.kind AND i.digest = m.digest""")
+def held_objects(spark: SparkSession, d: str) -> DataFrame:
+    m = t.members(spark, d)
+    return lookup.held(m.select((F.col("pack") * 100 + F.col("ord")).alias("probe_id"), "kind", "digest"), packs.index_rows(packs.seal(m, "pack"), "pack"))

@@ -82,6 +82,16 @@ def test_records_and_filters(spark):
     assert one.select(keys.safe_integer(F.lit("5\n")).alias("a"), keys.digest_hex(F.lit("a" * 64)).alias("b"), keys.digest_hex(F.lit("A" * 64)).alias("c"), keys.unsigned64(F.lit("18446744073709551615")).cast("string").alias("d"), keys.unsigned64(F.lit("18446744073709551616")).alias("e"), keys.kind_name(F.lit(1)).alias("f")).first() == (None, "a" * 64, None, "18446744073709551615", None, "cas")
 
 
+def test_events_messages_and_flags(spark):
+    from cairn.functions import redact
+
+    one = spark.range(1)
+    e = redact.event(F.lit("back end"), F.lit("get"), F.lit("zz"), F.lit("A" * 64), F.lit("TypeError"), F.lit("aborted at https://x.y/z"), F.lit(99), F.lit(False))
+    assert tuple(one.select(e.alias("e")).first()["e"]) == ("unknown", "get", None, None, "type-error", "aborted at <redacted-url>", None, True)
+    assert one.select(redact.service_message(F.lit("Bearer abc http://x.y/z " + "w" * 400))).first()[0] == ("Bearer <redacted> <redacted-url> " + "w" * 400)[:300]
+    assert [one.select(records.boolean_field(F.lit(x), "f")).first()[0] for x in ('{"f":true}', '{"f":"true"}', '{"g":1}', "x")] == [True, None, None, None]
+
+
 def test_running_sums_of_skewed_orders(spark):
     from cairn.operators.running import running_sums
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +99,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Keeps numpy's matrix products to one thread a worker: tasks are what runs in parallel, and threads that wait for small products cost more than they bring."""
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as f:
+        paths = {line.split()[-1] for line in f if "openblas" in line}
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id as decimal text, unsigned."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

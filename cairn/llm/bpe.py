@@ -238,8 +238,11 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         t = tokenizer(path, pattern)
         for batch in batches:
-            for ids, tokens in zip(*[c.to_pylist() for c in batch.columns]):
-                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.int64()), pa.array([t.decode(tokens or [])])], ["doc_id", "text"])
+            # some hundred rows at a time, as texts may be long
+            for lo in range(0, batch.num_rows, 256):
+                ids, tokens = (c.slice(lo, 256) for c in batch.columns)
+                texts = [t.decode(tokens[k].as_py() or []) for k in range(len(tokens))]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -262,6 +265,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, as bpe_digests gives them.
+
+    Null and empty texts have no tokens and the digests of empty texts; rows with equal or null
+    ids and repeated rows have a row each; an empty table gives none; other columns are ignored.
+    """
     import public_tokenizers
 
     return bpe_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import crc_of_id, materialize, partitions, text_slices
+from ._util import crc_of_id, materialize, one_thread, partitions, text_slices
 
 #: Words of the network (with the end and the symbol of rare words), classes, size of the state.
 WORDS, CLASSES, STATE = 1024, 32, 16
@@ -487,6 +487,7 @@ def _round(sent, turn: int):
     """Passes over a round's documents of each slice of a task, each from the weights that were sent; one row of words and sum of weights by words."""
 
     def run(batches):
+        one_thread()
         known, net = sent.value
         words, total, first = 0, None, None
         for _, held, keys, lens, hashes, flat in _slices(batches):
@@ -549,6 +550,7 @@ def _scored(known, buckets: int):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
 
     def run(batches):
+        one_thread()
         v, net = known.value
         for ids, held, keys, lens, hashes, flat in _slices(batches):
             number, c = v.look_up(hashes)

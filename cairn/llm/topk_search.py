@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._util import partitions, pieces
+from ._util import one_thread, partitions, pieces
 
 #: Bytes of the candidates of a block.
 BLOCK_BYTES = 32 << 20
@@ -135,6 +135,7 @@ def top_k(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5,
 
 def _against(k: int):
     def run(batches):
+        one_thread()
         block, tiles, waiting = None, {}, {}
 
         def answered(dim: int) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import gru_lm, language_id, mixing, sharding, simhash, spotsigs, suffix_dedup, topk_search
-from cairn.llm.bpe import bpe_digests, tokenizer
+from cairn.llm.bpe import bpe_decode, bpe_digests, bpe_encode, stage_bpe, tokenizer
 from cairn.llm.token_counts import counter, token_counts
 
 P = pytest.importorskip("public_tokenizers")
@@ -638,3 +638,71 @@ def test_spotsigs_of_texts_without_anchors():
     han = "".join(chr(0x4E00 + k) for k in range(60))
     assert spotsigs.likeness(spotsigs.signatures(han, anchors), spotsigs.signatures(han[:40], anchors)) > 0.5
     assert np.isin(spotsigs.signatures("IM!! haus dort", anchors), spotsigs.signatures("im haus dort", anchors)).all()
+
+
+def test_row_by_row_operators_keep_repeated_and_null_ids(spark):
+    import sentencepiece
+    import tokenizers
+
+    rnd = random.Random(21)
+    texts = [None, "", "a b", "the same", "漢字 🙂 <|endoftext|>", " ".join(rnd.choice(["the", "ing", "ö", "12"]) for _ in range(30_000))]
+    rows = [(i, t, "en") for i in (None, 5, 5, 9) for t in texts] + [(7, "again", None)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_tokens", F.lit("x")).withColumn("ids", F.lit("y")).repartition(4)
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = Counter(tuple(r) for r in token_counts(table, P.path("piece_bpe_32k.model")).collect())
+    assert got == Counter((i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for i, t, _ in rows)
+    lib = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = Counter()
+    for i, t, _ in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))] += 1
+    assert Counter(tuple(r) for r in stage_bpe(spark, table, "").collect()) == want
+    encoded = bpe_encode(table, P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect()) == Counter((i, tuple(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
+    back = bpe_decode(encoded, P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((i, t or "") for i, t, _ in rows)
+    fp = Counter((r["doc_id"], r["fingerprint"]) for r in simhash.near_duplicates(table).collect())
+    assert fp == Counter((i, f"{simhash.fingerprint(t):016x}") for i, t, _ in rows)
+    langs = language_id.language_id(table).collect()
+    assert Counter(r["doc_id"] for r in langs) == Counter(i for i, _, _ in rows) and {r["lang_pred"] for r in langs} == {"en", "und"}
+
+
+def test_language_ties_go_to_the_first_by_name(spark):
+    rows = [(k, "abc def", lang) for k, lang in enumerate(["zz", "aa", "mm"] * 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(table)
+    out = language_id.predict(spark.createDataFrame([(1, "abc def"), (2, "xyz")], "doc_id long, text string"), model).collect()
+    assert model[0] == ["aa", "mm", "zz"] and [r["lang_pred"] for r in out] == ["aa", "aa"] and all(r["score"] == pytest.approx(1 / 3) for r in out)
+
+
+def test_near_copy_stage_finds_every_link_of_the_table(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in real.collect()]
+    sets = {}
+    for i, t in sorted(rows):
+        sets.setdefault(tuple(simhash.shingle_set(t).tolist()), i)
+    # pairs of distinct sets that share a shingle, exactly
+    by = {}
+    for s in sets:
+        for h in s:
+            by.setdefault(h, []).append(s)
+    parent = {s: s for s in sets}
+
+    def top(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    links = 0
+    for group in by.values():
+        for x, a in enumerate(group):
+            for b in group[:x]:
+                if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and top(a) != top(b):
+                    both = len(set(a) & set(b))
+                    if 5 * both >= 4 * (len(a) + len(b) - both):
+                        low, high = sorted((top(a), top(b)), key=sets.get)
+                        parent[high] = low
+                        links += 1
+    stays = {sets[s] for s in sets if top(s) == s}
+    assert {r["doc_id"] for r in simhash.stage_near_duplicates(spark, real, "").collect()} == stays and links > 0

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,13 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table into the shared folder and reads it again."""
+def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+    """Cuts the lineage: writes df as a table into the shared folder and reads it again.
+
+    free: the shuffle files behind df, which nothing needs any more, are worth deleting at once.
+    Spark deletes them when the driver's garbage collection finds them out of reach, which
+    takes two collections: the first one lets go of what still holds them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # Spark deletes the shuffle files of what is no longer reachable; it finds out when the driver collects garbage
-    spark.sparkContext._jvm.System.gc()
+    for wait in (0.3, 0.3) if free else ():
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out

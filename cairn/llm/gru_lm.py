@@ -609,7 +609,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     n = partitions(spark)
     buckets = 4 * n
     tokens = tokenized(docs, held_out, buckets)
-    counts = materialize(word_counts(tokens), "word-counts")
+    counts = materialize(word_counts(tokens), "word-counts", free=True)
     sums = counts.agg(F.sum("types").alias("types"), F.sum("total").alias("total")).first()
     learn = tokens.where("bucket is null").select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.sum("n").alias("n")).first()["n"]
     h, c = frequent(counts, FREQUENT)

@@ -420,7 +420,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "n")
     nodes = materialize(rows.select("s", "map", order.alias("o")).groupBy("s").agg(F.first("map").alias("map"), F.min("o").alias("o")), "sets")
     dealt = rows.select("s", "size", F.posexplode("g").alias("at", "g")).select("g", "s", "size", "at").repartition("g").sortWithinPartitions("g")
-    shared = materialize(dealt.mapInArrow(_shared, "g long, s long, size int, at int"), "shared")
+    shared = materialize(dealt.mapInArrow(_shared, "g long, s long, size int, at int"), "shared", free=True)
 
     def pairs(roots: DataFrame | None) -> DataFrame:
         held = shared.join(nodes.select("s", "map"), "s")
@@ -434,16 +434,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
         wanted = nodes.join(ends, "s", "left_semi").select("s", F.col("o.n").alias("n"))
-        texts = materialize(rows.select("n", F.col("row.text").alias("text")).join(wanted, "n").select("s", "text"), "texts")
+        texts = materialize(rows.select("n", F.col("row.text").alias("text")).join(wanted, "n").select("s", "text"), "texts", free=True)
         sides = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
-        out = materialize(sides.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+        out = materialize(sides.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links", free=True)
         release(texts)
         return out
 
-    first = materialize(pairs(None), "pairs")
+    first = materialize(pairs(None), "pairs", free=True)
     linked = verified(first)
     known = components(linked)
-    rest = materialize(pairs(known).join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(pairs(known).join(first, ["a", "b"], "left_anti"), "pairs", free=True)
     release(known, first, shared)
     more = verified(rest)
     roots = components(linked.union(more))

@@ -433,7 +433,7 @@ def marks(rows: Rows) -> DataFrame:
     n = partitions(rows.docs.sparkSession)
     dealt = rows.docs.select("__doc", "__tag", "text").mapInArrow(_dealt_runs(rows.buckets), "bucket long, doc long, tag long, data binary")
     judged = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged_runs, "doc long, tag long, marks binary, wants binary")
-    judged = materialize(judged, "runs")
+    judged = materialize(judged, "runs", free=True)
     wants = judged.where("wants is not null").groupBy("doc", "tag").agg(F.collect_list("wants").alias("wants"))
     texts = _compressed(rows).join(wants, ["doc", "tag"]).select("doc", "tag", "data", "wants")
     strings = texts.mapInArrow(_dealt_strings(rows.buckets), "bucket long, key array<long>, doc array<long>, tag array<long>, first array<long>, string array<binary>")

@@ -90,9 +90,11 @@ def test_stream_outcomes(spark, tmp_path):
 def test_journal(spark, tmp_path):
     from cairn.sources import files
 
-    (tmp_path / "j").write_text('{"timestamp":"t","area":"BAD","operation":"get","message":"at https://a.b/c","statusCode":900}\nnot json\n')
+    good = '{"timestamp":"2026-01-02T03:04:05Z","area":"a","operation":"get","name":"error","message":"at https://a.b/c","statusCode":900,"aborted":false}'
+    # a line without a proper area, or without a time, is none
+    (tmp_path / "j").write_text("\n".join([good, good.replace('"a"', '"BAD"'), good.replace("2026", "t"), "not json", ""]))
     rows = files.journal(spark, str(tmp_path / "j")).collect()
-    assert [(r["area"], r["message"], r["statusCode"]) for r in rows] == [("unknown", "at <redacted-url>", None)]
+    assert [(r["area"], r["message"], r["statusCode"]) for r in rows] == [("a", "at <redacted-url>", None)]
 
 
 def test_admission_reclaims_in_order_of_durability(spark):

@@ -123,17 +123,22 @@ def _metrics(by: str = "event_id") -> str:
     return f"""concat('{{"schemaVersion":', CASE {by} % 67 WHEN 0 THEN '3' ELSE '4' END, ',"startedAt":"2026-01-02T03:04:05Z",', {stopped}, {", ".join(groups)}, {sides}, ',', {flags}, {top}, '"end":0}}')"""
 
 
+def _count(f: str) -> str:
+    """A counter, as SQL reads it fastest; negative, fractional and quoted numbers have other types."""
+    return f"json_type(j, '$.{f}') = 'UBIGINT' AND TRY_CAST({_text(f)} AS BIGINT) <= 9007199254740991"
+
+
 _IDS = "CAST(json_extract(j, '$.writeBack.remainingObjectIds') AS VARCHAR[])"
 _METRIC_RULES = [
-    ("record", "json_type(j) = 'OBJECT'"), ("schemaVersion", f"{_number('schemaVersion')} = 4"), *[(g, _is(g, "record")) for g in records.GROUPS], ("writeBack.remainingObjects", _integer("writeBack.remainingObjects", 0)),
+    ("record", "json_type(j) = 'OBJECT'"), ("schemaVersion", f"{_number('schemaVersion')} = 4"), *[(g, _is(g, "record")) for g in records.GROUPS], ("writeBack.remainingObjects", _count("writeBack.remainingObjects")),
     ("remaining identities", f"len({_IDS}) <= 100 AND len(list_filter({_IDS}, lambda x: NOT regexp_full_match(x, '(ac|cas):[0-9a-f]{{64}}'))) = 0"), ("remaining identities repeat", f"len(list_distinct({_IDS})) = len({_IDS})"),
     ("too many remaining identities", f"len({_IDS}) <= {_number('writeBack.remainingObjects')}"), ("stoppedAt", f"json_type(j, '$.stoppedAt') IS NULL OR TRY_CAST({_text('stoppedAt')} AS TIMESTAMPTZ) IS NOT NULL"), ("startedAt", f"TRY_CAST({_text('startedAt')} AS TIMESTAMPTZ) IS NOT NULL"),
-    *[(f, _is(f, "flag")) for f in records.FLAGS], *[(f"{g}.{c}", _integer(f"{g}.{c}", 0)) for g, names in records.GROUPS.items() for c in names],
-    *[(f"{s}.{k}.{c}", _integer(f"{s}.{k}.{c}", 0)) for s in ("reads", "writes") for k in ("ac", "cas") for c in records.KIND_COUNTERS],
-    *[(f"writeBack.{f}", f"{_number('writeBack.' + f)} >= 0") for f in ("configuredEntriesPerMinute", "currentEntriesPerMinute")], *[(c, _integer(c, 0)) for c in records.TOP_COUNTERS],
+    *[(f, _is(f, "flag")) for f in records.FLAGS], *[(f"{g}.{c}", _count(f"{g}.{c}")) for g, names in records.GROUPS.items() for c in names],
+    *[(f"{s}.{k}.{c}", _count(f"{s}.{k}.{c}")) for s in ("reads", "writes") for k in ("ac", "cas") for c in records.KIND_COUNTERS],
+    *[(f"writeBack.{f}", f"{_number('writeBack.' + f)} >= 0") for f in ("configuredEntriesPerMinute", "currentEntriesPerMinute")], *[(c, _count(c)) for c in records.TOP_COUNTERS],
 ]
 _ERRORS = " OR ".join([
-    "json_type(j, '$.stoppedAt') IS NULL", *[f"({_number(c)} > 0 AND {_integer(c, 0)})" for c in ("backend.errors", "backend.rateLimited", "integrityFailures", "writeBack.remainingObjects", "reads.ac.errors", "reads.cas.errors", "writes.ac.errors", "writes.cas.errors")],
+    "json_type(j, '$.stoppedAt') IS NULL", *[f"(json_type(j, '$.{c}') = 'UBIGINT' AND {_text(c)} <> '0')" for c in ("backend.errors", "backend.rateLimited", "integrityFailures", "writeBack.remainingObjects", "reads.ac.errors", "reads.cas.errors", "writes.ac.errors", "writes.cas.errors")],
     *[f"({_is(f, 'flag')} AND {_text(f)} = 'true')" for f in ("diagnosticJournalFailed", "casWriteFailed", "readCircuitOpen", "writeCircuitOpen")],
 ])
 _SNAPSHOTS = "SELECT event_id, user_id, CAST({} AS JSON) AS j FROM (SELECT *, sha256(props) AS sha256_ FROM events)"
@@ -148,11 +153,11 @@ def metrics_checks(spark: SparkSession, d: str) -> DataFrame:
     return _snapshots(spark, d).select("event_id", records.metrics_problem(F.col("j")).alias("problem"))
 
 
-@query(f"SELECT event_id, p IS NULL AS wellformed, e AS unhealthy, len(i) AS named FROM (SELECT event_id, {_rules(_METRIC_RULES)} AS p, {_ERRORS} AS e, {_IDS} AS i FROM ({_SNAPSHOTS.format(_metrics())})) WHERE p IS NULL")
+@query(f"WITH c AS MATERIALIZED (SELECT event_id, j, {_rules(_METRIC_RULES)} AS p FROM ({_SNAPSHOTS.format(_metrics())})), w AS MATERIALIZED (SELECT * FROM c WHERE p IS NULL) SELECT event_id, p IS NULL AS wellformed, {_ERRORS} AS unhealthy, len({_IDS}) AS named FROM w")
 def metrics_health(spark: SparkSession, d: str) -> DataFrame:
     """Well-formed snapshots, whether they tell of errors, and how many objects they name (none once they are sanitized)."""
     j = F.col("j")
-    rows = _snapshots(spark, d).withColumn("p", records.metrics_problem(j)).where("p is null")
+    rows = _snapshots(spark, d).withColumn("p", records.metrics_problem(j)).where("p is null").select("event_id", "j", "p")
     named = lambda x: F.size(F.from_json(F.get_json_object(x, "$.writeBack.remainingObjectIds"), "array<string>"))
     clean = records.without_identities(j)
     return rows.where((named(clean) == 0) & records.metrics_problem(clean).isNull()).select("event_id", F.col("p").isNull().alias("wellformed"), records.cache_errors(j).alias("unhealthy"), named(j).cast("long").alias("named"))

@@ -417,7 +417,10 @@ def test_language_id(spark, docs, empty):
     assert out.where("lang = lang_pred").count() >= 0.97 * out.count()
 
 
-def test_language_stage_drops_what_is_in_no_language(spark):
+@pytest.mark.parametrize("least", [0.4, 0.75])
+def test_language_stage_drops_what_is_in_no_language(spark, monkeypatch, least):
+    if least != language_id.SURE:
+        monkeypatch.setattr(language_id, "SURE", least)
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     more = spark.createDataFrame([(-1, "xqzj vbkw pfgh zzkq jjwx qqvv", None, "s", 1), (-2, None, "en", "s", 1), (-3, "%%% 12 !!", "fr", "s", 1), (None, real.first()["text"], None, None, 1), (-4, "Привет как дела что нового", None, "s", 1)], real.schema)
     out = language_id.stage_language(spark, real.union(more).withColumn("score", F.lit("x")), "")
@@ -440,7 +443,9 @@ def test_language_stage_drops_what_is_in_no_language(spark):
             want[r["doc_id"], langs[top]] += 1
     assert Counter((r["doc_id"], r["lang"]) for r in kept) == want
     ids = {r["doc_id"] for r in kept}
-    assert ids >= {r["doc_id"] for r in real.select("doc_id").collect()} and None in ids and not ids & {-1, -2, -3, -4}
+    assert ids >= {r["doc_id"] for r in real.select("doc_id").collect()} and None in ids and not ids & {-2, -3}
+    # with a stricter bound, random letters and another script go too
+    assert least < 0.5 or not ids & {-1, -4}
 
 
 def test_pipeline_runs_over_documents(spark):

@@ -15,8 +15,9 @@ def newest_first() -> list:
 
 
 def distinct_ids(catalog: DataFrame) -> DataFrame:
-    """The newest row of every id."""
-    return catalog.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(*newest_first()))).where("__n = 1").drop("__n")
+    """The newest row of every id; of rows that differ in their size only, the smallest."""
+    order = Window.partitionBy("id").orderBy(*newest_first(), F.asc("size_bytes"))
+    return catalog.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
 #: Filters that are broadcast at a time: 256 bytes each.

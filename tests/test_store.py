@@ -149,3 +149,12 @@ def test_every_member_is_looked_up(spark):
     found = registry.queries()["bloom_candidates"](spark, DIR)
     own = found.where("pack = floor(probe_id / 100)").count()
     assert own == spark.read.parquet(f"{DIR}/part.parquet").count()
+
+
+def test_ties_of_the_catalog_are_settled_by_the_rows(spark):
+    from cairn.operators import lookup
+
+    entries = [(1, "k", "v1", "r", size, 5) for size in (4, 2, 9)]
+    for step in (1, -1):
+        catalog = spark.createDataFrame(entries[::step], "id long, key string, version string, ref string, size_bytes long, created_at long").coalesce(1)
+        assert [r["size_bytes"] for r in lookup.distinct_ids(catalog).collect()] == [2]

@@ -90,12 +90,13 @@ def materialized(candidates: DataFrame, version: str) -> DataFrame:
     pack's index has the probe). Those of another version are skipped; so are in turn 1
     those that turn 0 tried. They are tried newest first until one is intact and holds the
     probe; a broken one is an error, one that does not hold it a false positive. pack is null where none does.
+    Entries of one pack and date are tried by key; of one entry's rows the intact ones that hold the probe come first.
     """
     fit = candidates.where(F.col("version") == version)
-    once = fit.groupBy("probe_id", "key", "version").agg(F.min_by(F.struct("turn", "created_at", "pack", "intact", "holds"), F.struct("turn", -F.col("created_at"), -F.col("pack"))).alias("c"))
-    order = Window.partitionBy("probe_id").orderBy("turn", F.desc("created_at"), F.desc("pack"))
+    once = fit.groupBy("probe_id", "key", "version").agg(F.min_by(F.struct("turn", "created_at", "pack", "intact", "holds"), F.struct("turn", -F.col("created_at"), -F.col("pack"), ~F.col("intact"), ~F.col("holds"))).alias("c"))
+    order = Window.partitionBy("probe_id").orderBy("turn", F.desc("created_at"), F.desc("pack"), "key")
     hit = (F.col("intact") & F.col("holds")).cast("int")
-    rows = once.select("probe_id", "c.*").withColumn("__hit", hit)
+    rows = once.select("probe_id", "key", "c.*").withColumn("__hit", hit)
     before = F.coalesce(F.max("__hit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tried = rows.withColumn("__before", before).where("__before = 0")
     out = tried.groupBy("probe_id").agg(

@@ -158,3 +158,12 @@ def test_ties_of_the_catalog_are_settled_by_the_rows(spark):
     for step in (1, -1):
         catalog = spark.createDataFrame(entries[::step], "id long, key string, version string, ref string, size_bytes long, created_at long").coalesce(1)
         assert [r["size_bytes"] for r in lookup.distinct_ids(catalog).collect()] == [2]
+
+
+def test_ties_of_candidates_are_settled_by_the_rows(spark):
+    from cairn.operators import lookup
+
+    tried = [("p", 0, 7, key, "v1", 5, True, holds) for key, holds in (("b", True), ("a", False), ("a", True), ("c", True))]
+    for step in (1, -1):
+        candidates = spark.createDataFrame(tried[::step], "probe_id string, turn int, pack long, key string, version string, created_at long, intact boolean, holds boolean").coalesce(1)
+        assert [tuple(r) for r in lookup.materialized(candidates, "v1").collect()] == [("p", 7, 1, 0, 0)]

@@ -24,6 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +46,15 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     n = max(1, len(words) - width + 1)
     shingles = zip(*(words[i : i + n] for i in range(width))) if len(words) >= width else [words]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(b" ".join(s), seed) for s in shingles), np.uint64, n)
+    return majority(np.fromiter((digest(b" ".join(s), seed) for s in shingles), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
     ones = np.zeros(64, np.int64)
-    for lo in range(0, n, 4096):
+    for lo in range(0, len(h), 4096):
         ones += np.unpackbits(h[lo : lo + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -136,23 +141,35 @@ def roots_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _star_edges(batches):
-    """From rows (g, fp) in the order of g, whole groups in one task: an edge to the smallest linked fingerprint of the group."""
+def _gray_groups(batches):
+    """From rows (g, fp) in the order of g, whole groups in one task: fingerprints in the order of the index, and positions of its pairs."""
     for table in whole_groups(batches, "g", 4 << 20):
         gs, x = table["g"].to_numpy(), table["fp"].to_numpy().view(np.uint64)
         order = np.lexsort((gray_rank(x), gs))
         gs, x = gs[order], x[order]
-        i, j = near_pairs(gs, x)
+        yield x, *near_pairs(gs, x)
+
+
+def _star_edges(batches):
+    """An edge to the smallest linked fingerprint of the group."""
+    for x, i, j in _gray_groups(batches):
         root = roots_of(len(x), i, j)
         some = root != np.arange(len(x))
         yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)), pa.array(x[root[some]].view(np.int64))], ["a", "b"])
 
 
+def _near_edges(batches):
+    """A least spanning forest of the pairs of a group, each within BITS."""
+    for x, i, j in _gray_groups(batches):
+        kept = _forest(np.arange(len(x)), i, j, np.bitwise_count(x[i] ^ x[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[i[kept]].view(np.int64)), pa.array(x[j[kept]].view(np.int64))], ["a", "b"])
+
+
 def _block(x, k: int):
     return F.shiftrightunsigned(x, 16 * k).bitwiseAND(F.lit(0xFFFF))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, edges=_star_edges) -> DataFrame:
     """Edges a-b between distinct fingerprints whose components are those of all links of at most 2 bits."""
     fp = F.col("fp")
     pairs = list(combinations(range(4), 2))
@@ -169,7 +186,7 @@ def links(fps: DataFrame) -> DataFrame:
     further = F.element_at(F.array(*split), F.col("t") + 1)
     groups = F.when(F.col("n") > SPLIT, further).otherwise(F.array("g"))
     dealt = dealt.select("fp", F.explode(groups).alias("g"))
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_star_edges, "a long, b long").distinct()
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(edges, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,7 +232,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORDS, LEAST = 5, 0.8
 PART, WHOLE = 4, 5
 #: Bits of a set's parity map, comparisons held at a time.
-PARITY, HELD = 512, 1 << 21
+PARITY, HELD = 512, 1 << 19
+#: Bytes of whole groups that a worker holds.
+TABLE = 4 << 20
 #: Documents whose shingles are counted to know the common ones, and how many of these are known.
 COUNTED, COMMON = 20_000, 1 << 20
 
@@ -266,24 +285,25 @@ def parity(h: np.ndarray) -> bytes:
 
 
 def _sketched(common):
-    """Adds to every row its set's hash, size, parity map and prefix."""
+    """Adds to every row its set's hash, size, parity map, fingerprint and prefix."""
 
     def run(batches):
         for batch in batches:
             text = batch.column(0).field("text")
             small = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), text], ["at", "text"])
-            s, size, maps, fronts = [], [], [], []
+            s, size, maps, fps, fronts = [], [], [], [], []
             for _, texts in text_slices(small, ("at", "text")):
                 for t in texts:
                     h = shingle_set(t)
                     s.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                     size.append(len(h))
                     maps.append(parity(h))
+                    fps.append(majority(h))
                     fronts.append(prefix(h, common.value))
             ends = np.cumsum([0, *map(len, fronts)])
             flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *fronts]).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(s, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(maps, pa.binary()), lists], ["row", "s", "size", "map", "g"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(s, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(maps, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], ["row", "s", "size", "map", "fp", "g"])
 
     return run
 
@@ -319,9 +339,8 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c[x][keep]) for x in ("g", "s", "size", "at")], ["g", "s", "size", "at"])
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Positions of the edges a-b of a least spanning forest by distance d over n nodes."""
-    root = np.arange(n)
+def _forest(root: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Positions of the edges a-b of a least spanning forest by distance d; root: each node's smallest node so far, which follows."""
     kept = []
     for level in np.unique(d):
         at = np.flatnonzero(d == level)
@@ -343,13 +362,21 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
 def _candidates(every: bool):
     """From rows (g, s, size, at, map, root) in the order of g, whole groups in one task: pairs that may reach the similarity.
 
-    every: all pairs of different roots; otherwise a least spanning forest of a run of pairs.
+    every: all pairs of different roots; otherwise a spanning forest of them, the least of each run of pairs.
     """
 
     def run(batches):
-        for table in whole_groups(batches, "g"):
+        for table in whole_groups(batches, "g", TABLE):
             yield from pairs(table)
 
+    def known(g, root):
+        # in each group the first row of every root
+        order = np.lexsort((root, g))
+        start = np.flatnonzero(np.append(True, (g[order][1:] != g[order][:-1]) | (root[order][1:] != root[order][:-1])))
+        out = np.empty(len(g), np.int64)
+        out[order] = np.repeat(np.minimum.reduceat(order, start), np.diff(np.append(start, len(g))))
+        return out
+
     def pairs(table):
         c, order = _by_shingle(table)
         g, s, at, root = c["g"], c["s"], c["at"].astype(np.int64), c["root"]
@@ -357,6 +384,7 @@ def _candidates(every: bool):
         maps = np.concatenate([np.frombuffer(b"".join(m.to_pylist()), np.uint64) for m in table["map"].chunks]).reshape(-1, PARITY // 64)[order]
         first = _partners(g, size)
         ends = np.cumsum(np.arange(len(g)) - first)
+        tree = None if every else known(g, root)
         lo = 0
         while lo < len(g):
             base = ends[lo - 1] if lo else 0
@@ -369,9 +397,7 @@ def _candidates(every: bool):
             # of the common shingle that comes first in both, no set has one before it that the other has
             most = 1 + np.minimum(size[owner] - at[owner], size[other] - at[other]) - 1
             both = size[owner] + size[other]
-            keep = most * (PART + WHOLE) >= PART * both
-            if every:
-                keep &= root[owner] != root[other]
+            keep = (most * (PART + WHOLE) >= PART * both) & (root[owner] != root[other])
             owner, other, both = owner[keep], other[keep], both[keep]
             parts = []
             for k in range(0, len(owner), 1 << 18):
@@ -381,7 +407,7 @@ def _candidates(every: bool):
             keep = (both - d) * (PART + WHOLE) >= 2 * PART * both
             owner, other, d = owner[keep], other[keep], d[keep]
             if not every:
-                keep = _forest(len(g), owner, other, d)
+                keep = _forest(tree, owner, other, d)
                 owner, other = owner[keep], other[keep]
             if len(owner):
                 p, q = s[owner], s[other]
@@ -391,13 +417,21 @@ def _candidates(every: bool):
     return run
 
 
+def _packed(batches):
+    """Compresses the texts of rows (s, text)."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], ["s", "text"])
+
+
 def _verified(batches):
     """Keeps the pairs whose shingle sets have a Jaccard similarity of at least LEAST."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         a, b, x, y = (batch.column(k) for k in range(4))
         good = []
         for k in range(batch.num_rows):
-            p, q = shingle_set(x[k].as_py()), shingle_set(y[k].as_py())
+            p, q = (shingle_set(unpack(t[k].as_py()).decode()) for t in (x, y))
             both = len(np.intersect1d(p, q, assume_unique=True))
             good.append(both >= LEAST * (len(p) + len(q) - both))
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -406,48 +440,61 @@ def _verified(batches):
 def near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs as a struct `row`, each with `keep`: whether it stays for its group of near copies.
 
-    Rows of equal shingle sets are one node. Every two sets that reach the similarity have a
-    common shingle among the rarest fifth of each, so all pairs that meet there are
-    candidates; only those are dropped that sizes, places in the prefix or parity maps prove to be below it.
-    A spanning forest of each shingle's candidates is checked on the exact sets first, then
-    every other candidate whose sides are still apart. The row with the smallest doc_id of a
-    component stays (nulls last).
+    Rows of equal shingle sets are one node, with the SimHash of the set. Sets whose
+    fingerprints the Gray-order index finds within BITS are linked where their exact sets
+    reach the similarity. Pairs that fingerprints miss by chance follow: every two sets that
+    reach it have a common shingle among the rarest fifth of each, so all pairs that meet
+    there and are still apart are candidates; only those are dropped that sizes, places in
+    the prefix or parity maps prove to be below it. A spanning forest of each shingle's
+    candidates is checked on the exact sets first, then every other candidate whose sides are
+    still apart. The row with the smallest doc_id of a component stays (nulls last).
     """
     fields = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
-    schema = T.StructType([fields.schema["row"], T.StructField("s", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("map", T.BinaryType()), T.StructField("g", T.ArrayType(T.LongType()))])
+    schema = T.StructType([fields.schema["row"], T.StructField("s", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("map", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("g", T.ArrayType(T.LongType()))])
     rows = materialize(fields.mapInArrow(_sketched(common), schema).withColumn("n", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "n")
-    nodes = materialize(rows.select("s", "map", order.alias("o")).groupBy("s").agg(F.first("map").alias("map"), F.min("o").alias("o")), "sets")
+    nodes = materialize(rows.select("s", "map", "fp", order.alias("o")).groupBy("s").agg(F.first("map").alias("map"), F.first("fp").alias("fp"), F.min("o").alias("o")), "sets")
     dealt = rows.select("s", "size", F.posexplode("g").alias("at", "g")).select("g", "s", "size", "at").repartition("g").sortWithinPartitions("g")
     shared = materialize(dealt.mapInArrow(_shared, "g long, s long, size int, at int"), "shared", free=True)
 
-    def pairs(roots: DataFrame | None) -> DataFrame:
+    def indexed() -> DataFrame:
+        """Pairs of sets that the index of fingerprints links."""
+        heads = materialize(nodes.groupBy("fp").agg(F.min("s").alias("head"), F.count(F.lit(1)).alias("n")), "fps")
+        equal = nodes.select("s", "fp").join(heads.where("n > 1"), "fp").where("s != head").select(F.col("s").alias("p"), F.col("head").alias("q"))
+        head = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"of_{c}"))
+        near = links(heads.select("fp"), _near_edges).join(head("a"), "a").join(head("b"), "b").select(F.col("of_a").alias("p"), F.col("of_b").alias("q"))
+        out = materialize(equal.union(near).select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b")).distinct(), "pairs", free=True)
+        release(heads)
+        return out
+
+    def pairs(roots: DataFrame, every: bool) -> DataFrame:
         held = shared.join(nodes.select("s", "map"), "s")
-        if roots is None:
-            held = held.withColumn("root", F.col("s"))
-        else:
-            held = held.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        found = held.select("g", "s", "size", "at", "map", "root").repartition("g").sortWithinPartitions("g").mapInArrow(_candidates(roots is not None), "a long, b long")
+        held = held.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+        found = held.select("g", "s", "size", "at", "map", "root").repartition("g").sortWithinPartitions("g").mapInArrow(_candidates(every), "a long, b long")
         return found.distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
         wanted = nodes.join(ends, "s", "left_semi").select("s", F.col("o.n").alias("n"))
-        texts = materialize(rows.select("n", F.col("row.text").alias("text")).join(wanted, "n").select("s", "text"), "texts", free=True)
+        texts = materialize(rows.select("n", F.col("row.text").alias("text")).join(wanted, "n").select("s", "text").mapInArrow(_packed, "s long, text binary"), "texts", free=True)
         sides = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b")
         out = materialize(sides.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links", free=True)
         release(texts)
         return out
 
-    first = materialize(pairs(None), "pairs", free=True)
-    linked = verified(first)
-    known = components(linked)
-    rest = materialize(pairs(known).join(first, ["a", "b"], "left_anti"), "pairs", free=True)
-    release(known, first, shared)
-    more = verified(rest)
-    roots = components(linked.union(more))
-    release(rest, linked, more)
+    near = indexed()
+    linked = [verified(near)]
+    known = components(linked[0])
+    first = materialize(pairs(known, every=False), "pairs", free=True)
+    release(known)
+    linked.append(verified(first))
+    known = components(linked[0].union(linked[1]))
+    rest = materialize(pairs(known, every=True).join(first.union(near), ["a", "b"], "left_anti"), "pairs", free=True)
+    release(known, near, first, shared)
+    linked.append(verified(rest))
+    roots = components(linked[0].union(linked[1]).union(linked[2]))
+    release(rest, *linked)
     grouped = nodes.select("s", "o").join(roots, nodes["s"] == roots["node"], "left")
     stays = grouped.groupBy(F.coalesce("root", "s")).agg(F.min("o").alias("o")).select(F.col("o.n").alias("n"), F.lit(True).alias("keep"))
     return rows.select("row", "n").join(stays, "n", "left").select("row", F.coalesce("keep", F.lit(False)).alias("keep"))

@@ -711,3 +711,28 @@ def test_near_copy_stage_finds_every_link_of_the_table(spark):
                         links += 1
     stays = {sets[s] for s in sets if top(s) == s}
     assert {r["doc_id"] for r in simhash.stage_near_duplicates(spark, real, "").collect()} == stays and links > 0
+
+
+def test_near_copies_come_from_the_index_of_fingerprints(spark, monkeypatch):
+    rnd = random.Random(13)
+    fps = [rnd.getrandbits(64) for _ in range(40)]
+    fps = np.array(sorted({f ^ sum(1 << b for b in rnd.sample(range(64), k)) for f in fps for k in (0, 1, 2, 2, 3)}), np.uint64).view(np.int64).tolist()
+    table = spark.createDataFrame([(f,) for f in fps], "fp long")
+    edges = simhash.links(table, simhash._near_edges).collect()
+    assert edges and all(((r["a"] ^ r["b"]) & (1 << 64) - 1).bit_count() <= simhash.BITS for r in edges)
+    at = {f: k for k, f in enumerate(fps)}
+    root = [simhash.roots_of(len(fps), *(np.array([at[r[c]] for r in rows]) for c in "ab")).tolist() for rows in (edges, simhash.links(table).collect())]
+    assert root[0] == root[1]
+
+    found = []
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: found.append(links(*a)) or found[-1])
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for _ in range(20):
+        text = [rnd.choice(words) for _ in range(900)]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(text[:-1]))]
+    near = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(r["doc_id"] for r in simhash.stage_near_duplicates(spark, near, "").collect())
+    assert got == _near_copies_by_brute_force(rows) == Counter(range(0, 40, 2))
+    assert len(found) == 1

@@ -12,7 +12,7 @@
    boundary between neighbours appears in the round in which their common prefix ends, so
    after 50 bytes the stretches without a boundary are the repeated intervals.
 3. Marks. In every interval the windows of documents above the smallest one are marked;
-   marks and texts meet by row, and the bytes that marked windows cover are removed.
+   marks and texts meet by block of rows, and the bytes that marked windows cover are removed.
 
 A row is told by its doc_id and, where rows with different texts share an id or it is null,
 by the hash of its text. A key that very many different strings share is dealt anew by its
@@ -155,8 +155,8 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 _ENTRY = ("<i8", "<i8", "<u8", "<u8", "<u4", "<u2")  # doc, tag, key, content, first window, windows
-_SPAN = ("<u4", "<u2")  # first window, windows
-_WANT = ("<u4", "<u2", "<u8")  # and the key; 0: deal by windows
+_SPAN = ("<i8", "<i8", "<u4", "<u4")  # doc, tag, first window, windows
+_WANT = ("<i8", "<i8", "<u4", "<u4", "<u8")  # and the key; 0: deal by windows
 
 
 def _sorted_groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,14 +166,72 @@ def _sorted_groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.append(True, k[1:] != k[:-1])[: len(k)]
 
 
-def _by_row(doc: np.ndarray, tag: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """doc, tag and blob of the arrays of every row."""
-    order = np.lexsort((arrays[0], tag, doc))
-    d, t = doc[order], tag[order]
-    cuts = np.append(np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))[: len(d)]), len(d)).tolist()
-    arrays = [a[order] for a in arrays]
-    for a, b in zip(cuts, cuts[1:]):
-        yield int(d[a]), int(t[a]), _pack(*(x[a:b] for x in arrays))
+def _block_of(doc: np.ndarray, tag: np.ndarray, blocks: int) -> np.ndarray:
+    """Block of every row, as Spark's pmod(xxhash64(doc, tag), blocks)."""
+    one, two, three, four, five = (_U(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << _U(r)) | (x >> _U(64 - r))
+    h = np.full(len(doc), 42, np.uint64)
+    for x in (doc, tag):
+        h = h + five + _U(8)
+        h ^= turn(x.astype(np.int64).view(np.uint64) * two, 31) * one
+        h = turn(h, 27) * one + four
+        h = (h ^ (h >> _U(33))) * two
+        h = (h ^ (h >> _U(29))) * three
+        h ^= h >> _U(32)
+    return h.view(np.int64) % blocks
+
+
+def _by_block(blocks: int, kinds: tuple[str, ...], doc: np.ndarray, tag: np.ndarray, *arrays: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Blocks of rows that occur and for each the blob of its rows' doc, tag and arrays."""
+    block = _block_of(doc, tag, blocks)
+    order = np.lexsort((arrays[0], tag, doc, block))
+    b = block[order]
+    cuts = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])[: len(b)]), len(b)).tolist()
+    cols = [a[order].astype(k) for a, k in zip((doc, tag, *arrays), kinds)]
+    return b[cuts[:-1]].tolist(), [_pack(*(c[lo:hi] for c in cols)) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _joined(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, tag, first and number of the runs of neighbouring windows."""
+    order = np.lexsort((at, tag, doc))
+    doc, tag, at = doc[order], tag[order], at[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (at[1:] > at[:-1] + 1))[: len(at)]
+    start = np.flatnonzero(new)
+    last = np.append(start[1:], len(at)) - 1
+    return doc[start], tag[start], at[start], at[last[: len(start)]] - at[start] + 1
+
+
+def _met(batches, name: str, kinds: tuple[str, ...]):
+    """From rows in the order of block, a block's blobs before its rows: each batch with the places of its rows, and their arrays of the blobs (or None)."""
+    block, blobs, index = None, [], None
+    for batch in batches:
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        blocks, docs, tags, data = (column(c).to_pylist() for c in ("block", "doc", "tag", name))
+        rows = []
+        for at, blob in enumerate(data):
+            if blocks[at] != block:
+                block, blobs, index = blocks[at], [], None
+            if blob is not None:
+                blobs.append(blob)
+                continue
+            if index is None:
+                index, parts = {}, [_unpack(b, *kinds) for b in blobs]
+                doc, tag, *arrays = (np.concatenate([np.zeros(0, k), *(p[i] for p in parts)]).astype(k) for i, k in enumerate(kinds))
+                order = np.lexsort((tag, doc))
+                doc, tag = doc[order], tag[order]
+                arrays = [a[order] for a in arrays]
+                cuts = np.append(np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))[: len(doc)]), len(doc)).tolist()
+                for lo, hi in zip(cuts, cuts[1:]):
+                    index[int(doc[lo]), int(tag[lo])] = [a[lo:hi] for a in arrays]
+                blobs = []
+            rows.append((at, index.get((docs[at], tags[at]))))
+        yield batch, rows
+
+
+def _meeting(blobs: DataFrame, texts: DataFrame, name: str, n: int) -> DataFrame:
+    """Rows (block, doc, tag, ...) and blobs (block, `name`) by block, a block's blobs first, for _met."""
+    both = texts.unionByName(blobs, allowMissingColumns=True)
+    return both.repartition(n, "block").sortWithinPartitions("block", F.col(name).isNull(), "doc", "tag")
 
 
 class Rows:
@@ -186,6 +244,7 @@ class Rows:
         several = ids.where("a != b and doc_id is not null").select("doc_id").limit(SHARED + 1).toArrow()["doc_id"].to_pylist()
         size = ids.agg(F.sum("bytes").alias("n")).first()["n"] or 0
         self.buckets = pieces(size, BUCKET, 8 * partitions(docs.sparkSession))
+        self.blocks = pieces(size, BUCKET, 2 * partitions(docs.sparkSession))
         rows = docs
         told = F.col("doc_id").isNull()
         if len(several) > SHARED:
@@ -194,11 +253,11 @@ class Rows:
             shared = docs.sparkSession.createDataFrame([(i,) for i in several], "__shared long")
             rows = docs.join(F.broadcast(shared), F.col("doc_id") == F.col("__shared"), "left")
             told = told | F.col("__shared").isNotNull()
-        self.docs = rows.withColumn("__doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("__tag", F.when(told, text).otherwise(F.lit(0).cast("bigint"))).drop("__shared")
+        self.docs = rows.withColumn("__doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("__tag", F.when(told, text).otherwise(F.lit(0).cast("bigint"))).drop("__shared").withColumn("__block", F.pmod(F.xxhash64("__doc", "__tag"), F.lit(self.blocks).cast("bigint")))
 
 
-def _dealt_runs(buckets: int):
-    """Map side: runs of a slice, collapsed, as blobs by bucket; what repeats within the slice as marks (bucket below 0)."""
+def _dealt_runs(buckets: int, blocks: int):
+    """Map side: runs of a slice, collapsed, as blobs by bucket; what repeats within the slice as marks by block (bucket -1 - block)."""
 
     def run(batches):
         runs = Runs()
@@ -215,7 +274,7 @@ def _dealt_runs(buckets: int):
                 group = np.flatnonzero(~same)
                 owner = np.repeat(doc[group], np.diff(np.append(group, len(doc))))
                 repeated = same & (doc != owner)
-                own, tagged, blobs, to = [], [], [], []
+                blobs, to = [], []
                 bucket = (key % _U(buckets)).astype(np.int64)
                 sent = ~repeated
                 order, new = _sorted_groups(bucket[sent])
@@ -225,30 +284,29 @@ def _dealt_runs(buckets: int):
                 for a, b in zip(cuts, cuts[1:]):
                     to.append(int(at[a]))
                     blobs.append(_pack(*(p[a:b].astype(t) for p, t in zip(parts, _ENTRY))))
-                    own.append(None)
-                    tagged.append(None)
-                for d, t, blob in _by_row(doc[repeated], tag[repeated], first[repeated].astype("<u4"), count[repeated].astype("<u2")):
-                    to.append(-1 - d % buckets)
-                    blobs.append(blob)
-                    own.append(d)
-                    tagged.append(t)
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(own, pa.int64()), pa.array(tagged, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "doc", "tag", "data"])
+                found, data = _by_block(blocks, _SPAN, doc[repeated], tag[repeated], first[repeated], count[repeated])
+                to += [-1 - b for b in found]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs + data, pa.binary())], ["bucket", "data"])
 
     return run
 
 
-def _judged_runs(batches):
-    """Reduce side, a bucket at a time: marks of repeated runs (marks) and the strings that a merge needs (wants), by row."""
-    for table in whole_groups(batches, "bucket"):
-        passed = table.filter(pa.compute.less(table["bucket"], 0))
-        for b in passed.to_batches():
-            yield pa.RecordBatch.from_arrays([b["doc"], b["tag"], b["data"], pa.nulls(b.num_rows, pa.binary())], ["doc", "tag", "marks", "wants"])
-        entries = [_unpack(x.as_py(), *_ENTRY) for x in table.filter(pa.compute.greater_equal(table["bucket"], 0))["data"]]
-        if entries:
-            yield from _judged(*(np.concatenate([e[i] for e in entries]) for i in range(len(_ENTRY))))
+def _judged_runs(blocks: int):
+    """Reduce side, a bucket at a time: marks of repeated runs (marks) and the strings that a merge needs (wants), by block."""
+
+    def run(batches):
+        for table in whole_groups(batches, "bucket"):
+            passed = table.filter(pa.compute.less(table["bucket"], 0))
+            for b in passed.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - b["bucket"].to_numpy()), b["data"], pa.nulls(b.num_rows, pa.binary())], ["block", "marks", "wants"])
+            entries = [_unpack(x.as_py(), *_ENTRY) for x in table.filter(pa.compute.greater_equal(table["bucket"], 0))["data"]]
+            if entries:
+                yield from _judged(blocks, *(np.concatenate([e[i] for e in entries]) for i in range(len(_ENTRY))))
+
+    return run
 
 
-def _judged(doc: np.ndarray, tag: np.ndarray, key: np.ndarray, content: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _judged(blocks: int, doc: np.ndarray, tag: np.ndarray, key: np.ndarray, content: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((doc, content, key))
     doc, tag, key, content, first, count = (a[order] for a in (doc, tag, key, content, first, count))
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -263,16 +321,13 @@ def _judged(doc: np.ndarray, tag: np.ndarray, key: np.ndarray, content: np.ndarr
     wanted = several & (doc == owner) & (variants > 1)
     name = np.where(variants > HOT, _U(0), np.maximum(key, _U(1)))
     for kind, rows, arrays in ((0, marked, (first, count)), (1, wanted, (first, count, name))):
-        found = list(_by_row(doc[rows], tag[rows], *(a[rows] for a in arrays)))
-        if found:
-            ids, tags, blobs = zip(*found)
-            none = pa.nulls(len(ids), pa.binary())
-            data = pa.array(blobs, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), none if kind else data, data if kind else none], ["doc", "tag", "marks", "wants"])
+        found, blobs = _by_block(blocks, _WANT if kind else _SPAN, doc[rows], tag[rows], *(a[rows] for a in arrays))
+        none, data = pa.nulls(len(found), pa.binary()), pa.array(blobs, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), none if kind else data, data if kind else none], ["block", "marks", "wants"])
 
 
 def _dealt_strings(buckets: int):
-    """Cuts the wanted strings out of the texts and deals them by key; strings of a blob are of some documents."""
+    """Cuts the wanted strings out of the texts and deals them by key; a row's strings are of some documents."""
     names = ["bucket", "key", "doc", "tag", "first", "string"]
 
     def run(batches):
@@ -286,25 +341,25 @@ def _dealt_strings(buckets: int):
             signed = pa.array([[x[0] - (1 << 64) if x[0] >> 63 else x[0] for x in r] for _, r in rows], pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), signed, column(1, pa.int64()), column(2, pa.int64()), column(3, pa.int64()), column(4, pa.binary())], names)
 
-        for batch in batches:
-            for at in range(batch.num_rows):
-                d, t, data, wants = (batch.column(k)[at].as_py() for k in range(4))
+        for batch, rows in _met(batches, "wants", _WANT):
+            docs, tags, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc", "tag", "data"))
+            for at, wants in rows:
+                d, t = docs[at].as_py(), tags[at].as_py()
                 # repeated rows stand together and have the same strings
-                if (d, t) == before:
+                if wants is None or (d, t) == before:
                     continue
                 before = d, t
-                text = unpack(data)
-                for blob in wants:
-                    for s, n, key in zip(*[a.tolist() for a in _unpack(blob, *_WANT)]):
-                        if key:
-                            held.setdefault(xxhash.xxh64_intdigest(key.to_bytes(8, "little")) % buckets, []).append((key, d, t, s, text[s : s + n + WINDOW - 1]))
-                            size += n + 2 * WINDOW
-                        else:
-                            for w in range(s, s + n):
-                                piece = text[w : w + WINDOW]
-                                key_of = xxhash.xxh64_intdigest(piece)
-                                held.setdefault(key_of % buckets, []).append((key_of, d, t, w, piece))
-                            size += n * 2 * WINDOW
+                text = unpack(texts[at].as_py())
+                for s, n, key in zip(*[a.tolist() for a in wants]):
+                    if key:
+                        held.setdefault(xxhash.xxh64_intdigest(key.to_bytes(8, "little")) % buckets, []).append((key, d, t, s, text[s : s + n + WINDOW - 1]))
+                        size += n + 2 * WINDOW
+                    else:
+                        for w in range(s, s + n):
+                            piece = text[w : w + WINDOW]
+                            key_of = xxhash.xxh64_intdigest(piece)
+                            held.setdefault(key_of % buckets, []).append((key_of, d, t, w, piece))
+                        size += n * 2 * WINDOW
                     if size >= SLICE_BYTES:
                         yield flush()
                         held.clear()
@@ -393,9 +448,17 @@ def repeated(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.nda
     return string[found], offset[found]
 
 
-def _merged_strings(batches):
-    """Merges the strings of a bucket at a time, whole keys together, and gives marks by row."""
-    for held in whole_groups(batches, "bucket"):
+def _merged_strings(blocks: int):
+    """Merges the strings of a bucket at a time, whole keys together, and gives marks by block."""
+
+    def run(batches):
+        for held in whole_groups(batches, "bucket"):
+            found = list(merged(held))
+            if found:
+                to, blobs = _by_block(blocks, _SPAN, *(np.concatenate(x) for x in zip(*found)))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["block", "marks"])
+
+    def merged(held):
         flat = lambda name: held[name].combine_chunks().flatten()
         key, doc, tag, first = (flat(n).to_numpy(zero_copy_only=False) for n in ("key", "doc", "tag", "first"))
         string = flat("string")
@@ -411,39 +474,37 @@ def _merged_strings(batches):
             ends = bounds[bounds > lo]
             hi = int(ends[max(0, int(np.searchsorted(size[ends - 1], base + MERGE, side="right")) - 1)])
             which, offset = repeated(string.slice(lo, hi - lo).to_pylist(), doc[lo:hi])
-            where = first[lo:hi][which] + offset
-            found = list(_by_row(doc[lo:hi][which], tag[lo:hi][which], where.astype("<u4"), np.ones(len(where), "<u2")))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], ["doc", "tag", "marks"])
+            if len(which):
+                yield _joined(doc[lo:hi][which], tag[lo:hi][which], first[lo:hi][which] + offset)
             lo = hi
 
+    return run
+
 
-def removed_mask(size: int, marks: list[bytes]) -> np.ndarray:
+def removed_mask(size: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The bytes of a text that marked windows cover."""
     edge = np.zeros(size + 1, np.int64)
-    for blob in marks:
-        s, n = (a.astype(np.int64) for a in _unpack(blob, *_SPAN))
-        np.add.at(edge, np.minimum(s, size), 1)
-        np.add.at(edge, np.minimum(s + n + WINDOW - 1, size), -1)
+    s, n = first.astype(np.int64), count.astype(np.int64)
+    np.add.at(edge, np.minimum(s, size), 1)
+    np.add.at(edge, np.minimum(s + n + WINDOW - 1, size), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def marks(rows: Rows) -> DataFrame:
-    """doc, tag and marks, the lists of its marked windows, of every row that has some."""
+    """block and marks: doc, tag and marked windows of rows of the block, as blobs."""
     n = partitions(rows.docs.sparkSession)
-    dealt = rows.docs.select("__doc", "__tag", "text").mapInArrow(_dealt_runs(rows.buckets), "bucket long, doc long, tag long, data binary")
-    judged = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged_runs, "doc long, tag long, marks binary, wants binary")
+    dealt = rows.docs.select("__doc", "__tag", "text").mapInArrow(_dealt_runs(rows.buckets, rows.blocks), "bucket long, data binary")
+    judged = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged_runs(rows.blocks), "block long, marks binary, wants binary")
     judged = materialize(judged, "runs", free=True)
-    wants = judged.where("wants is not null").groupBy("doc", "tag").agg(F.collect_list("wants").alias("wants"))
-    texts = _compressed(rows).join(wants, ["doc", "tag"]).select("doc", "tag", "data", "wants")
+    wants = judged.where("wants is not null").select("block", "wants")
+    texts = _meeting(wants, _compressed(rows).select("block", "doc", "tag", "data"), "wants", n)
     strings = texts.mapInArrow(_dealt_strings(rows.buckets), "bucket long, key array<long>, doc array<long>, tag array<long>, first array<long>, string array<binary>")
-    merged = strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged_strings, "doc long, tag long, marks binary")
-    found = judged.where("marks is not null").select("doc", "tag", "marks").union(merged)
-    return found.groupBy("doc", "tag").agg(F.collect_list("marks").alias("marks"))
+    merged = strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged_strings(rows.blocks), "block long, marks binary")
+    return judged.where("marks is not null").select("block", "marks").union(merged)
 
 
 def _compressed(rows: Rows) -> DataFrame:
-    """doc_id, doc, tag and the text's bytes, compressed before they are shuffled."""
+    """doc_id, block, doc, tag and the text's bytes, compressed before they are shuffled."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -452,9 +513,9 @@ def _compressed(rows: Rows) -> DataFrame:
             for (texts,) in text_slices(batch, ("text",)):
                 part = batch.slice(start, len(texts))
                 start += len(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([pack((t or "").encode()) for t in texts], pa.binary())], ["doc_id", "doc", "tag", "data"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([pack((t or "").encode()) for t in texts], pa.binary())], ["doc_id", "block", "doc", "tag", "data"])
 
-    return rows.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__doc", "__tag", "text").mapInArrow(run, "doc_id long, doc long, tag long, data binary")
+    return rows.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__block", "__doc", "__tag", "text").mapInArrow(run, "doc_id long, block long, doc long, tag long, data binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -462,47 +523,47 @@ def digests(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch, rows in _met(batches, "marks", _SPAN):
             out = []
-            for at in range(batch.num_rows):
-                data, found = batch.column(1)[at].as_py(), batch.column(2)[at].as_py()
-                text = unpack(data)
+            texts = batch.column(batch.schema.get_field_index("data"))
+            for at, found in rows:
+                text = unpack(texts[at].as_py())
                 if found:
-                    gone = removed_mask(len(text), found)
+                    gone = removed_mask(len(text), *found)
                     spans = int(np.count_nonzero(gone & ~np.append(False, gone[:-1])))
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 else:
                     spans, kept = 0, text
                 out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array([at for at, _ in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = Rows(docs)
-    joined = _compressed(rows).join(marks(rows), ["doc", "tag"], "left").select("doc_id", "data", "marks")
+    joined = _meeting(marks(rows), _compressed(rows), "marks", partitions(docs.sparkSession))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents without their repeated bytes; letters of which a part goes go whole. n_chars follows the text."""
     rows, columns = Rows(docs), docs.columns
-    found = marks(rows).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("marks").alias("__marks"))
-    joined = rows.docs.join(found, ["__doc", "__tag"], "left").select(*columns, "__marks")
+    texts = rows.docs.select(F.col("__block").alias("block"), F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), F.struct(*[rows.docs[c] for c in columns]).alias("row"))
+    joined = _meeting(marks(rows), texts, "marks", partitions(docs.sparkSession))
 
     def run(batches):
-        for batch in batches:
-            marked = batch.column(batch.schema.get_field_index("__marks"))
+        for batch, met in _met(batches, "marks", _SPAN):
+            held = batch.column(batch.schema.get_field_index("row")).take(pa.array([at for at, _ in met], pa.int64()))
+            part = pa.RecordBatch.from_arrays(held.flatten(), columns)
             start = 0
-            for (texts,) in text_slices(batch, ("text",)):
-                part = batch.slice(start, len(texts))
+            for (texts,) in text_slices(part, ("text",)):
                 out = []
-                for k, t in enumerate(texts):
-                    m = marked[start + k].as_py()
-                    if t is not None and m:
+                for t, (_, found) in zip(texts, met[start : start + len(texts)]):
+                    if t is not None and found:
                         raw = t.encode()
-                        t = np.frombuffer(raw, np.uint8)[~removed_mask(len(raw), m)].tobytes().decode("utf-8", "ignore")
+                        t = np.frombuffer(raw, np.uint8)[~removed_mask(len(raw), *found)].tobytes().decode("utf-8", "ignore")
                     out.append(t)
+                cols = dict(zip(columns, part.slice(start, len(texts)).columns))
                 start += len(texts)
-                cols = {c: part.column(part.schema.get_field_index(c)) for c in columns}
                 cols["text"] = pa.array(out, pa.string())
                 if "n_chars" in cols:
                     cols["n_chars"] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(cols["n_chars"].type)

@@ -736,3 +736,15 @@ def test_near_copies_come_from_the_index_of_fingerprints(spark, monkeypatch):
     got = Counter(r["doc_id"] for r in simhash.stage_near_duplicates(spark, near, "").collect())
     assert got == _near_copies_by_brute_force(rows) == Counter(range(0, 40, 2))
     assert len(found) == 1
+
+
+def test_marks_meet_texts_by_block(spark):
+    rnd = random.Random(14)
+    passages = [" ".join(hashlib.sha256(b"%d" % rnd.getrandbits(32)).hexdigest()[:9] for _ in range(9)) for _ in range(40)]
+    rows = [(k, " ".join([f"own {k}", *rnd.sample(passages, 4)])) for k in range(2000)]
+    told = suffix_dedup.Rows(spark.createDataFrame([*rows, (None, "x"), (None, None)], "doc_id long, text string").repartition(3))
+    blocks = told.docs.select("__doc", "__tag", "__block").toArrow()
+    doc, tag, block = (blocks[c].to_numpy() for c in ("__doc", "__tag", "__block"))
+    assert suffix_dedup._block_of(doc, tag, told.blocks).tolist() == block.tolist() and len(set(block)) == told.blocks
+    # blobs follow blocks, not documents
+    assert 0 < suffix_dedup.marks(told).count() <= 11 * told.blocks < len(rows) / 4

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import SLICE_BYTES, materialize, partitions, pieces, text_slices, whole_groups
+from ._util import SLICE_BYTES, materialize, partitions, text_slices, whole_groups
 
 WINDOW = 50
 #: Bytes of the strings whose smallest hash keys a window (shorter ones meet by chance in a large corpus), and how many of them a window has.
@@ -51,6 +51,8 @@ RUN, HOT, SHARD, MERGE = 256, 2000, 16 << 10, 128 << 10
 SHARED, BUCKET = 1 << 20, 16 << 20
 #: Windows of a text that are looked at together.
 PIECE = 256 << 10
+#: Marks or wants that are held at most before they become blobs; bytes of strings whose windows are compared at a time.
+HELD, SIEVE = 1 << 20, 1 << 20
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -191,6 +193,24 @@ def _by_block(blocks: int, kinds: tuple[str, ...], doc: np.ndarray, tag: np.ndar
     return b[cuts[:-1]].tolist(), [_pack(*(c[lo:hi] for c in cols)) for lo, hi in zip(cuts, cuts[1:])]
 
 
+class Gathered:
+    """Holds rows of `kinds` until there are HELD, so that the number of blobs does not follow the slices and groups they come from."""
+
+    def __init__(self, blocks: int, kinds: tuple[str, ...]):
+        self.blocks, self.kinds, self.parts, self.size = blocks, kinds, [], 0
+
+    def add(self, *arrays: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """Takes rows; the blocks and blobs that are due."""
+        if len(arrays[0]):
+            self.parts.append([a.astype(k) for a, k in zip(arrays, self.kinds)])
+            self.size += len(arrays[0])
+        return self.rest() if self.size >= HELD else ([], [])
+
+    def rest(self) -> tuple[list[int], list[bytes]]:
+        parts, self.parts, self.size = self.parts, [], 0
+        return _by_block(self.blocks, self.kinds, *map(np.concatenate, zip(*parts))) if parts else ([], [])
+
+
 def _joined(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """doc, tag, first and number of the runs of neighbouring windows."""
     order = np.lexsort((at, tag, doc))
@@ -231,7 +251,17 @@ def _met(batches, name: str, kinds: tuple[str, ...]):
 def _meeting(blobs: DataFrame, texts: DataFrame, name: str, n: int) -> DataFrame:
     """Rows (block, doc, tag, ...) and blobs (block, `name`) by block, a block's blobs first, for _met."""
     both = texts.unionByName(blobs, allowMissingColumns=True)
-    return both.repartition(n, "block").sortWithinPartitions("block", F.col(name).isNull(), "doc", "tag")
+    return _dealt(both, n, "block").sortWithinPartitions("block", F.col(name).isNull(), "doc", "tag")
+
+
+def _dealt(df: DataFrame, n: int, column: str) -> DataFrame:
+    """df in n partitions, the numbers of a column in turn: a hash would leave some partitions empty and give others several."""
+    return df.repartitionById(n, F.pmod(F.col(column), F.lit(n)).cast("int"))
+
+
+def _even(size: int, each: int, n: int) -> int:
+    """Pieces of about `each` bytes, as many in each of n partitions."""
+    return n * max(1, round(size / each / n))
 
 
 class Rows:
@@ -243,8 +273,9 @@ class Rows:
         ids = materialize(ids, "ids")
         several = ids.where("a != b and doc_id is not null").select("doc_id").limit(SHARED + 1).toArrow()["doc_id"].to_pylist()
         size = ids.agg(F.sum("bytes").alias("n")).first()["n"] or 0
-        self.buckets = pieces(size, BUCKET, 8 * partitions(docs.sparkSession))
-        self.blocks = pieces(size, BUCKET, 2 * partitions(docs.sparkSession))
+        # every slice and group of runs has a blob for each of these, so there are no more than memory asks for
+        n = partitions(docs.sparkSession)
+        self.buckets, self.blocks = _even(size, BUCKET // 2, n), _even(size, BUCKET, n)
         rows = docs
         told = F.col("doc_id").isNull()
         if len(several) > SHARED:
@@ -260,7 +291,8 @@ def _dealt_runs(buckets: int, blocks: int):
     """Map side: runs of a slice, collapsed, as blobs by bucket; what repeats within the slice as marks by block (bucket -1 - block)."""
 
     def run(batches):
-        runs = Runs()
+        runs, spans = Runs(), Gathered(blocks, _SPAN)
+        rows = lambda to, data: pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
         for batch in batches:
             for docs, tags, texts in text_slices(batch, ("__doc", "__tag", "text")):
                 k, first, count, key, content = runs.of([(t or "").encode() for t in texts])
@@ -284,9 +316,10 @@ def _dealt_runs(buckets: int, blocks: int):
                 for a, b in zip(cuts, cuts[1:]):
                     to.append(int(at[a]))
                     blobs.append(_pack(*(p[a:b].astype(t) for p, t in zip(parts, _ENTRY))))
-                found, data = _by_block(blocks, _SPAN, doc[repeated], tag[repeated], first[repeated], count[repeated])
-                to += [-1 - b for b in found]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs + data, pa.binary())], ["bucket", "data"])
+                found, data = spans.add(doc[repeated], tag[repeated], first[repeated], count[repeated])
+                yield rows(to + [-1 - b for b in found], blobs + data)
+        found, data = spans.rest()
+        yield rows([-1 - b for b in found], data)
 
     return run
 
@@ -295,18 +328,28 @@ def _judged_runs(blocks: int):
     """Reduce side, a bucket at a time: marks of repeated runs (marks) and the strings that a merge needs (wants), by block."""
 
     def run(batches):
+        held = Gathered(blocks, _SPAN), Gathered(blocks, _WANT)
+
+        def rows(kind, found, blobs):
+            none, data = pa.nulls(len(found), pa.binary()), pa.array(blobs, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), none if kind else data, data if kind else none], ["block", "marks", "wants"])
+
         for table in whole_groups(batches, "bucket"):
             passed = table.filter(pa.compute.less(table["bucket"], 0))
             for b in passed.to_batches():
                 yield pa.RecordBatch.from_arrays([pa.array(-1 - b["bucket"].to_numpy()), b["data"], pa.nulls(b.num_rows, pa.binary())], ["block", "marks", "wants"])
             entries = [_unpack(x.as_py(), *_ENTRY) for x in table.filter(pa.compute.greater_equal(table["bucket"], 0))["data"]]
             if entries:
-                yield from _judged(blocks, *(np.concatenate([e[i] for e in entries]) for i in range(len(_ENTRY))))
+                for kind, arrays in enumerate(_judged(*(np.concatenate([e[i] for e in entries]) for i in range(len(_ENTRY))))):
+                    yield rows(kind, *held[kind].add(*arrays))
+        for kind in (0, 1):
+            yield rows(kind, *held[kind].rest())
 
     return run
 
 
-def _judged(blocks: int, doc: np.ndarray, tag: np.ndarray, key: np.ndarray, content: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _judged(doc: np.ndarray, tag: np.ndarray, key: np.ndarray, content: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Arrays of the marks and of the wants of whole keys."""
     order = np.lexsort((doc, content, key))
     doc, tag, key, content, first, count = (a[order] for a in (doc, tag, key, content, first, count))
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -320,10 +363,8 @@ def _judged(blocks: int, doc: np.ndarray, tag: np.ndarray, key: np.ndarray, cont
     # the owner may have the same run at several places
     wanted = several & (doc == owner) & (variants > 1)
     name = np.where(variants > HOT, _U(0), np.maximum(key, _U(1)))
-    for kind, rows, arrays in ((0, marked, (first, count)), (1, wanted, (first, count, name))):
-        found, blobs = _by_block(blocks, _WANT if kind else _SPAN, doc[rows], tag[rows], *(a[rows] for a in arrays))
-        none, data = pa.nulls(len(found), pa.binary()), pa.array(blobs, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), none if kind else data, data if kind else none], ["block", "marks", "wants"])
+    yield [a[marked] for a in (doc, tag, first, count)]
+    yield [a[wanted] for a in (doc, tag, first, count, name)]
 
 
 def _dealt_strings(buckets: int):
@@ -448,17 +489,55 @@ def repeated(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.nda
     return string[found], offset[found]
 
 
+def mergeable(buf: np.ndarray, lens: np.ndarray, docs: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Which strings (of lens bytes, end to end in buf) may have a window of another document: one of the same rolling hash.
+
+    Equal windows have equal hashes, so a string without one has nothing for the merge to find.
+    """
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + _U(1)) * up[: len(buf)], out=total[1:])
+    windows = np.maximum(lens - WINDOW + 1, 0)
+    string = np.repeat(np.arange(len(lens)), windows)
+    at = np.arange(len(string)) + np.repeat(np.cumsum(lens) - lens - (np.cumsum(windows) - windows), windows)
+    h = (total[at + WINDOW] - total[at]) * down[at]
+    order = np.argsort(h)
+    h, string = h[order], string[order]
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+    out = np.zeros(len(lens), bool)
+    if len(start):
+        owner = docs[string]
+        several = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
+        out[string[np.repeat(several, np.diff(np.append(start, len(h))))]] = True
+    return out
+
+
 def _merged_strings(blocks: int):
     """Merges the strings of a bucket at a time, whole keys together, and gives marks by block."""
 
     def run(batches):
+        spans, powers = Gathered(blocks, _SPAN), _powers(2 * SIEVE)
+        rows = lambda to, blobs: pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["block", "marks"])
         for held in whole_groups(batches, "bucket"):
-            found = list(merged(held))
-            if found:
-                to, blobs = _by_block(blocks, _SPAN, *(np.concatenate(x) for x in zip(*found)))
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["block", "marks"])
+            for found in merged(held, *powers):
+                yield rows(*spans.add(*found))
+        yield rows(*spans.rest())
 
-    def merged(held):
+    def sieved(string, size, key, doc, up, down):
+        # whole keys of about SIEVE bytes at a time; larger keys go to the merge as they are
+        out = np.ones(len(key), bool)
+        bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        lo = 0
+        while lo < len(key):
+            base = size[lo - 1] if lo else 0
+            ends = bounds[np.searchsorted(bounds, lo, side="right") :]
+            hi = int(ends[max(0, int(np.searchsorted(size[ends - 1], base + SIEVE, side="right")) - 1)])
+            if size[hi - 1] - base <= 2 * SIEVE:
+                buf = np.frombuffer(b"".join(string.slice(lo, hi - lo).to_pylist()), np.uint8)
+                out[lo:hi] = mergeable(buf, np.diff(size[lo:hi], prepend=base), doc[lo:hi], up, down)
+            lo = hi
+        return out
+
+    def merged(held, *powers):
         flat = lambda name: held[name].combine_chunks().flatten()
         key, doc, tag, first = (flat(n).to_numpy(zero_copy_only=False) for n in ("key", "doc", "tag", "first"))
         string = flat("string")
@@ -466,12 +545,16 @@ def _merged_strings(blocks: int):
         key, doc, tag, first = key[order], doc[order], tag[order], first[order]
         string = string.take(pa.array(order))
         size = np.cumsum(pa.compute.binary_length(string).to_numpy(zero_copy_only=False).astype(np.int64))
+        good = sieved(string, size, key, doc, *powers)
+        key, doc, tag, first = key[good], doc[good], tag[good], first[good]
+        string = string.filter(pa.array(good))
+        size = np.cumsum(pa.compute.binary_length(string).to_numpy(zero_copy_only=False).astype(np.int64))
         bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
         lo = 0
         while lo < len(key):
             base = size[lo - 1] if lo else 0
             # keys up to MERGE bytes, one at least
-            ends = bounds[bounds > lo]
+            ends = bounds[np.searchsorted(bounds, lo, side="right") :]
             hi = int(ends[max(0, int(np.searchsorted(size[ends - 1], base + MERGE, side="right")) - 1)])
             which, offset = repeated(string.slice(lo, hi - lo).to_pylist(), doc[lo:hi])
             if len(which):
@@ -494,12 +577,12 @@ def marks(rows: Rows) -> DataFrame:
     """block and marks: doc, tag and marked windows of rows of the block, as blobs."""
     n = partitions(rows.docs.sparkSession)
     dealt = rows.docs.select("__doc", "__tag", "text").mapInArrow(_dealt_runs(rows.buckets, rows.blocks), "bucket long, data binary")
-    judged = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged_runs(rows.blocks), "block long, marks binary, wants binary")
+    judged = _dealt(dealt, n, "bucket").sortWithinPartitions("bucket").mapInArrow(_judged_runs(rows.blocks), "block long, marks binary, wants binary")
     judged = materialize(judged, "runs", free=True)
     wants = judged.where("wants is not null").select("block", "wants")
     texts = _meeting(wants, _compressed(rows).select("block", "doc", "tag", "data"), "wants", n)
     strings = texts.mapInArrow(_dealt_strings(rows.buckets), "bucket long, key array<long>, doc array<long>, tag array<long>, first array<long>, string array<binary>")
-    merged = strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged_strings(rows.blocks), "block long, marks binary")
+    merged = _dealt(strings, n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged_strings(rows.blocks), "block long, marks binary")
     return judged.where("marks is not null").select("block", "marks").union(merged)
 
 

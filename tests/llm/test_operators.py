@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -748,3 +749,39 @@ def test_marks_meet_texts_by_block(spark):
     assert suffix_dedup._block_of(doc, tag, told.blocks).tolist() == block.tolist() and len(set(block)) == told.blocks
     # blobs follow blocks, not documents
     assert 0 < suffix_dedup.marks(told).count() <= 11 * told.blocks < len(rows) / 4
+
+
+def test_suffix_blobs_do_not_follow_slices(monkeypatch):
+    rnd = random.Random(15)
+    passages = [" ".join(hashlib.sha256(b"%d" % rnd.getrandbits(32)).hexdigest()[:9] for _ in range(9)) for _ in range(30)]
+    slices = []
+    for k in range(0, 600, 20):
+        texts = [" ".join([f"own {d}", *rnd.choices(passages, k=4)]) for d in range(k, k + 20)]
+        slices.append(pa.RecordBatch.from_arrays([pa.array(range(k, k + 20), pa.int64()), pa.array([0] * 20, pa.int64()), pa.array(texts)], ["__doc", "__tag", "text"]))
+    dealt = pa.Table.from_batches(list(suffix_dedup._dealt_runs(4, 8)(iter(slices)))).sort_by("bucket")
+    assert 0 < sum(b < 0 for b in dealt["bucket"].to_pylist()) <= 8
+    # a group of runs for each bucket
+    groups = suffix_dedup.whole_groups
+    monkeypatch.setattr(suffix_dedup, "whole_groups", lambda batches, column: groups(batches, column, 1))
+    runs = dealt.filter(pa.compute.greater_equal(dealt["bucket"], 0)).to_batches(max_chunksize=7)
+    judged = pa.Table.from_batches(list(suffix_dedup._judged_runs(8)(iter(runs))))
+    for name in ("marks", "wants"):
+        assert 0 < len(judged) - judged[name].null_count <= 8
+
+
+def test_suffix_merge_gets_every_string_that_shares_a_window():
+    rnd = random.Random(16)
+    letters = lambda n: bytes(rnd.choice(b"abcdefgh") for _ in range(n))
+    common, gram = letters(50), letters(40)
+    strings = [letters(rnd.randrange(70)) + rnd.choice([common, common[1:], gram, letters(50)]) + letters(rnd.randrange(70)) for _ in range(300)] + [b"", letters(49), common, common]
+    docs = np.array([rnd.randrange(200) for _ in strings])
+    of = {}
+    for s, d in zip(strings, docs.tolist()):
+        for p in range(len(s) - 49):
+            of.setdefault(s[p : p + 50], set()).add(d)
+    want = [any(len(of[s[p : p + 50]]) > 1 for p in range(len(s) - 49)) for s in strings]
+    lens = np.array([len(s) for s in strings])
+    got = suffix_dedup.mergeable(np.frombuffer(b"".join(strings), np.uint8), lens, docs, *suffix_dedup._powers(1 << 16))
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+    # alone and without windows
+    assert suffix_dedup.mergeable(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.array([1]), *suffix_dedup._powers(8)).tolist() == [False]
